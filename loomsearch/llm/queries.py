@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsearch.llm import sitelines, tokens
+from loomsearch.llm import neardup, sitelines, tokens
 from loomsearch.plans.runtime import read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(read(spark, sf_dir, "web_document"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_groups(read(spark, sf_dir, "web_document"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.repeated_lines(read(spark, sf_dir, "web_document"))
 
@@ -24,7 +32,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_clean, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
