@@ -7,7 +7,7 @@ triple of nearest indices and the triples in which one segment takes another nea
 Two regions that differ by some bits of one segment, the other two having none after
 decoding, share a key. A page's most common regions, up to a fifth of its words, are left
 out: pages half of whose shingles are shared have others in common. Pages that share a key
-are compared by a 128-bit sketch while they are joined, and what is left is verified on the
+are compared by a 256-bit sketch while they are joined, and what is left is verified on the
 exact shingle sets. Pages with the same series of words go through as one.
 """
 
@@ -32,10 +32,10 @@ REGION_WORDS, REGION_LEAST = 6, 3
 #: The share of a page's words in its most common regions that gives no keys.
 COMMON_SHARE = 0.2
 #: Keys of a page: those of all its regions, and near ones of the least hash up to this many.
-KEYS = 40
-#: Bits of 128 in which the sketches of a pair agree at least; 0.5 of shingles in common
-#: gives 94 on average with a deviation of 5, unrelated pages give 64.
-SKETCH_AGREE = 74
+KEYS = 36
+#: Bits of 256 in which the sketches of a pair agree at least; 0.5 of shingles in common
+#: gives 187 on average with a deviation of 7, unrelated pages give 128.
+SKETCH_AGREE = 164
 
 _words = re.compile(r"[^\W_]+")
 _cache: dict[str, tuple[int, int]] = {}
@@ -76,21 +76,20 @@ def shingles(exact: np.ndarray) -> np.ndarray:
     return np.unique(mix(mix(mix(exact[:-2]) + exact[1:-1]) + exact[2:]))
 
 
-def _votes(h: np.ndarray) -> np.ndarray:
-    """128 pseudo-random bits of each hash, as rows of 0 and 1."""
-    pair = np.stack([mix(h + np.uint64(1)), mix(h + np.uint64(2))], axis=1)
-    return np.unpackbits(pair.view(np.uint8).reshape(len(h), 16), axis=1)
+def _votes(h: np.ndarray, longs: int) -> np.ndarray:
+    """Pseudo-random bits of each hash, as rows of 0 and 1."""
+    each = np.stack([mix(h + np.uint64(k)) for k in range(1, longs + 1)], axis=1)
+    return np.unpackbits(each.view(np.uint8).reshape(len(h), 8 * longs), axis=1)
 
 
-def sketch(sh: np.ndarray) -> tuple[int, int]:
-    """128-bit similarity sketch of a shingle set, as two signed longs."""
-    bits = _votes(sh).sum(axis=0, dtype=np.int32) * 2 > len(sh)
-    a, b = np.packbits(bits).view(np.int64).tolist()
-    return a, b
+def sketch(sh: np.ndarray) -> list[int]:
+    """256-bit similarity sketch of a shingle set, as four signed longs."""
+    bits = _votes(sh, 4).sum(axis=0, dtype=np.int32) * 2 > len(sh)
+    return np.packbits(bits).view(np.int64).tolist()
 
 
-def regions(loose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of a page's regions: (first two segments, third segment, words)."""
+def regions(loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a page's regions: the first two segments, and the third with the number of words."""
     n = len(loose)
     ends = np.flatnonzero(mix(loose * np.uint64(3)) % np.uint64(REGION_WORDS) == 0) + 1
     starts = [0]
@@ -101,11 +100,11 @@ def regions(loose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lens = np.diff(np.append(at, n))
     before = np.concatenate([loose[:1], loose[:-1]])
     before[at] = np.uint64(0)
-    votes = _votes(mix(loose)).astype(np.int16) + _votes(mix(loose + before * np.uint64(5)))
+    votes = _votes(mix(loose), 2).astype(np.int16) + _votes(mix(loose + before * np.uint64(5)), 2)
     fp = (np.add.reduceat(votes, at, axis=0) > lens[:, None])[:, :69]
     place = np.int64(1) << np.arange(23, dtype=np.int64)
     s1, s2, s3 = (fp[:, k : k + 23] @ place for k in (0, 23, 46))
-    return s1 << 23 | s2, s3.astype(np.int32), lens.astype(np.int32)
+    return s1 << 23 | s2, s3 << 40 | lens
 
 
 def region_keys(pair: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +122,11 @@ def region_keys(pair: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.nda
 def choose_keys(rows: list[dict]) -> np.ndarray:
     """Keys of one page from its regions, each with the number of pages that have it."""
     pair = np.array([r["pair"] for r in rows], dtype=np.int64)
-    third = np.array([r["third"] for r in rows], dtype=np.int32)
-    lens = np.array([r["words"] for r in rows])
+    rest = np.array([r["rest"] for r in rows], dtype=np.int64)
+    lens = rest & 0xFFFFFFFFFF
     order = np.argsort(-np.array([r["pages"] for r in rows]), kind="stable")
     rare = order[np.cumsum(lens[order]) > COMMON_SHARE * lens.sum()]
-    first, other = region_keys(pair[rare], third[rare])
+    first, other = region_keys(pair[rare], rest[rare] >> 40)
     own, near = np.unique(first), np.setdiff1d(other, first)
     spare = KEYS - len(own)
     if 0 < spare < len(near):
@@ -141,52 +140,48 @@ def _pages(docs: DataFrame, id_col: str, title_col: str, body_col: str) -> DataF
 
 
 def fingerprints(pages: DataFrame) -> DataFrame:
-    """(id, same, size, sa, sb, regions) of each page with three words or more."""
+    """(id, same, size, s0..s3, regions) of each page with three words or more."""
     id_type = pages.schema["id"].dataType.simpleString()
-    region = pa.struct([("pair", pa.int64()), ("third", pa.int32()), ("words", pa.int32())])
+    region = pa.struct([("pair", pa.int64()), ("rest", pa.int64())])
+    names = ["id", "same", "size", "s0", "s1", "s2", "s3", "regions"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, same, size, sa, sb, regs = [], [], [], [], [], []
+            ids, same, size, sketches, regs = [], [], [], [], []
             for i, title, body in zip(*(c.to_pylist() for c in b.columns)):
                 ws = words(title, body)
                 if len(ws) < SHINGLE:
                     continue
                 exact, loose = _hashes(ws)
                 sh = shingles(exact)
-                x, y = sketch(sh)
                 ids.append(i)
                 same.append(xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass")))
                 size.append(len(sh))
-                sa.append(x)
-                sb.append(y)
+                sketches.append(sketch(sh))
                 regs.append(regions(loose))
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([r[k] for r in regs]) if regs else []).cast(region[k].type) for k in range(3)], fields=list(region))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([r[k] for r in regs]) if regs else [], pa.int64()) for k in range(2)], fields=list(region))
             offsets = pa.array(np.cumsum([0, *(len(r[0]) for r in regs)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.schema.field(0).type), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                ["id", "same", "size", "sa", "sb", "regions"],
+                [pa.array(ids, b.schema.field(0).type), pa.array(same, pa.binary()), pa.array(size, pa.int32()),
+                 *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(4)), pa.ListArray.from_arrays(offsets, flat)], names,
             )
 
-    return pages.mapInArrow(run, f"id {id_type}, same binary, size int, sa long, sb long, regions array<struct<pair:long,third:int,words:int>>")
+    return pages.mapInArrow(run, f"id {id_type}, same binary, size int, s0 long, s1 long, s2 long, s3 long, regions array<struct<pair:long,rest:long>>")
 
 
 def keyed(reps: DataFrame) -> DataFrame:
-    """(key, id, size, sa, sb): the Golay keys of each page, common regions left out."""
-    id_type = reps.schema["id"].dataType.simpleString()
-    rows = reps.select("id", F.explode("regions").alias("r")).select("id", "r.*")
-    counts = rows.groupBy("pair", "third").agg(F.count("*").alias("pages")).where("pages > 1")
-    rated = rows.join(counts, ["pair", "third"], "left").groupBy("id").agg(
-        F.collect_list(F.struct("pair", "third", "words", F.coalesce("pages", F.lit(1)).alias("pages"))).alias("rows")
-    )
+    """(key, n): the Golay keys of each page, its most common regions left out."""
+    rows = reps.select("n", F.explode("regions").alias("r")).select("n", "r.*")
+    counts = rows.groupBy("pair").agg(F.count("*").alias("pages")).where("pages > 1")
+    rated = rows.join(counts, "pair", "left").groupBy("n").agg(F.collect_list(F.struct("pair", "rest", F.coalesce("pages", F.lit(1)).alias("pages"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [choose_keys(r) for r in b.column(1).to_pylist()]
-            offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else [], pa.int64()))], ["id", "keys"])
+            pages = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(pages, pa.int64())], ["key", "n"])
 
-    return rated.mapInArrow(run, f"id {id_type}, keys array<long>").join(reps.select("id", "size", "sa", "sb"), "id").select(F.explode("keys").alias("key"), "id", "size", "sa", "sb")
+    return rated.mapInArrow(run, "key long, n long")
 
 
 def shingle_sets(pages: DataFrame) -> DataFrame:
@@ -211,19 +206,24 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", title_col: str = "t
     number of candidates or partners is capped.
     """
     pages = _pages(docs, id_col, title_col, body_col)
-    prints = stage(fingerprints(pages))
-    reps_of = prints.groupBy("same").agg(F.min("id").alias("rep"))
-    members = prints.select("id", "same").join(reps_of, "same").select("id", "rep").distinct()
-    # Rows of one id with different bodies would collide below; the pages of a class rep are one row.
-    reps = prints.join(reps_of, (prints["same"] == reps_of["same"]) & (prints["id"] == reps_of["rep"]), "left_semi").dropDuplicates(["id"])
+    prints = stage(fingerprints(pages).withColumn("n", F.monotonically_increasing_id()))
+    # Row numbers of the written table stand for pages until the pairs are verified.
+    reps_of = prints.groupBy("same").agg(F.min(F.struct("id", "n")).alias("rep"))
+    members = prints.select("id", "same").join(reps_of, "same").select("id", F.col("rep.id").alias("rep"))
+    reps = prints.join(reps_of.select(F.col("rep.n").alias("n")), "n", "left_semi")
     keys = stage(keyed(reps))
-    a, b = keys.alias("a"), keys.alias("b")
-    agree = 128 - F.bit_count(F.col("a.sa").bitwiseXOR(F.col("b.sa"))) - F.bit_count(F.col("a.sb").bitwiseXOR(F.col("b.sb")))
-    near = (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (agree >= SKETCH_AGREE)
-    candidates = stage(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    shared = keys.groupBy("key").agg(F.count("*").alias("pages")).where("pages > 1").select("key")
+    sides = stage(keys.join(shared, "key", "left_semi").join(prints.select("n", "size", "s0", "s1", "s2", "s3"), "n"))
+    a, b = sides.alias("a"), sides.alias("b")
+    differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(4)), F.lit(0))
+    near = (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (256 - differ >= SKETCH_AGREE)
+    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.n") < F.col("b.n")) & near).select(F.col("a.n").alias("x"), F.col("b.n").alias("y")).distinct()
+    names = prints.select("n", "id")
+    x, y = (names.select(F.col("n").alias(k), F.col("id").alias(v)) for k, v in (("x", "a"), ("y", "b")))
+    candidates = stage(found.join(x, "x").join(y, "y").select("a", "b"))
     needed = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-    sets = stage(shingle_sets(pages.join(needed, "id", "left_semi")).dropDuplicates(["id"]))
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    sets = stage(shingle_sets(pages.join(needed, "id", "left_semi")))
+    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     verified = candidates.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
     pairs = verified.select("a", "b", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("similarity"), "common", "sizes")
