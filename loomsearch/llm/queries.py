@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsearch.llm import neardup, sitelines, tokens
+from loomsearch.llm import lookalike, mixing, neardup, sitelines, tokens
 from loomsearch.plans.runtime import read
 
 
@@ -31,8 +31,24 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, sf_dir, "documents"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_pairs(read(spark, sf_dir, "documents"))
+
+
+def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.canonical(read(spark, sf_dir, "documents")).select("doc_id", "form")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p6_ids, p7_mix, p7_shares, p8_found, p8_text)}
 
 
 def oracle_sql() -> dict[str, str]:
