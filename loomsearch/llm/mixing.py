@@ -21,7 +21,7 @@ from loomsearch.plans.runtime import stage
 #: Languages that have a marginal of their own, and kinds of sites; the rest is one.
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru", "el", "ja", "zh", "ko", "ar", "hi")
 KINDS = ("news", "blog", "shop", "wiki", "docs", "media", "daily", "city", "guide", "hub", "forum")
-ROUNDS, TOLERANCE = 40, 1e-4
+ROUNDS, TOLERANCE = 25, 1e-3
 #: Steps of the sampling order in which tokens are counted before one step is sorted.
 STEPS = 4096
 
@@ -60,29 +60,30 @@ def feasible(targets: list[dict], sizes: dict[str, int]) -> dict[str, float]:
     return out
 
 
-def rake(cells: DataFrame, goals: dict[str, dict[str, float]], caps: dict[str, float]) -> dict[str, dict[str, float]]:
+def rake(cells: DataFrame, goals: dict[str, dict[str, float]], caps: dict[str, float], sizes: dict[str, int]) -> dict[str, dict[str, float]]:
     """Factors by margin (source, lang, topic) whose capped product weights meet the goals.
 
     Works on the table of cells, whose size is bounded by sources x languages x kinds; only
     the sums of one margin come to the driver. Ends on the source margin, which binds.
     """
-    spark = cells.sparkSession
     factors = {m: {k: 1.0 for k in goals[m]} for m in ("source", "lang", "topic")}
+    # A source that is used up entirely needs no raking: every cell is at its cap.
+    spent = {s for s, c in caps.items() if goals["source"].get(s, 0) >= c * sizes.get(s, 0) * (1 - 1e-9)}
+    factors["source"] |= {s: 1e12 for s in spent if s in factors["source"]}
 
     def sums(margin: str) -> dict[str, float]:
-        df = cells
+        product = F.lit(1.0)
         for m, f in factors.items():
-            extra = [(k, v, float(caps[k])) for k, v in f.items()] if m == "source" else list(f.items())
-            df = df.join(F.broadcast(spark.createDataFrame(extra, f"{m} string, f_{m} double" + (", cap double" if m == "source" else ""))), m)
-        weight = F.least(F.col("f_source") * F.col("f_lang") * F.col("f_topic"), F.col("cap"))
-        return {r[0]: r[1] for r in df.groupBy(margin).agg(F.sum(weight * F.col("tokens"))).collect()}
+            product = product * F.element_at(F.create_map(*(F.lit(x) for kv in f.items() for x in kv)), F.col(m))
+        cap = F.element_at(F.create_map(*(F.lit(x) for k, v in caps.items() for x in (k, float(v)))), F.col("source"))
+        return {r[0]: r[1] for r in cells.groupBy(margin).agg(F.sum(F.least(product, cap) * F.col("tokens"))).collect()}
 
     for _ in range(ROUNDS):
         worst = 0.0
         for margin in ("topic", "lang", "source"):
             now = sums(margin)
             for k, have in now.items():
-                if have > 0 and goals[margin].get(k, 0) > 0:
+                if have > 0 and goals[margin].get(k, 0) > 0 and not (margin == "source" and k in spent):
                     ratio = goals[margin][k] / have
                     factors[margin][k] *= ratio
                     if margin == "source":
@@ -120,7 +121,7 @@ def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_co
     goal = feasible(listed, sizes)
     caps = {t["source"]: t["max_repeats"] for t in listed}
     goals = {"source": goal, "lang": total("lang"), "topic": total("topic")}
-    factors = rake(cells, goals, caps) if sizes else {m: {} for m in goals}
+    factors = rake(cells, goals, caps, sizes) if sizes else {m: {} for m in goals}
 
     weighed = counted
     for m, kind in (("source", "f_source double, cap double, goal double"), ("lang", "f_lang double"), ("topic", "f_topic double")):
@@ -131,16 +132,14 @@ def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_co
     weighed = weighed.withColumn("w", weight).withColumn("whole", F.floor(F.col("w") + 1e-9)).withColumn("part", F.greatest(F.col("w") - F.col("whole"), F.lit(0.0)))
     # A document at its cap takes no further copy; one with a tiny fraction comes last.
     weighed = weighed.withColumn("turn", F.when((F.col("whole") < F.col("cap")), chance / F.greatest("part", F.lit(1e-9)))).withColumn(
-        "step", F.floor(F.lit(float(STEPS)) * F.col("turn") / (F.col("turn") + 1))
+        "step", F.coalesce(F.floor(F.lit(float(STEPS)) * F.col("turn") / (F.col("turn") + 1)), F.lit(STEPS + 1))
     )
     by_step = weighed.groupBy("source", "step").agg(F.sum("tokens").alias("step_tokens"), F.sum(F.col("whole") * F.col("tokens")).alias("base"), F.first("goal").alias("goal"))
-    order = Window.partitionBy("source").orderBy(F.col("step").asc_nulls_last())
+    order = Window.partitionBy("source").orderBy("step")
     steps = by_step.withColumn("need", F.col("goal") - F.sum("base").over(Window.partitionBy("source"))).withColumn(
-        "start", F.when(F.col("step").isNotNull(), F.sum("step_tokens").over(order) - F.col("step_tokens"))
+        "start", F.when(F.col("step") <= STEPS, F.sum("step_tokens").over(order) - F.col("step_tokens"))
     ).select("source", "step", "need", "start", (F.col("start") + F.col("step_tokens")).alias("end"))
-    placed = weighed.join(F.broadcast(steps), (weighed["source"] == steps["source"]) & weighed["step"].eqNullSafe(steps["step"])).select(
-        weighed["source"], "id", "tokens", "whole", "turn", "need", "start", "end"
-    )
+    placed = weighed.join(F.broadcast(steps), ["source", "step"]).select("source", "id", "tokens", "whole", "turn", "need", "start", "end")
     at_cut = (F.col("turn").isNotNull()) & (F.col("start") < F.col("need")) & (F.col("end") > F.col("need"))
     inside = placed.where(~F.coalesce(at_cut, F.lit(False))).withColumn("more", F.coalesce((F.col("end") <= F.col("need")).cast("int"), F.lit(0)))
     # One step of one source: where its running size crosses the goal, the nearer side counts.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsearch.llm import lookalike, mixing, neardup, sitelines, tokens
+from loomsearch.llm import entities, lookalike, mixing, neardup, sitelines, tokens
 from loomsearch.plans.runtime import read
 
 
@@ -19,6 +19,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(read(spark, sf_dir, "web_document"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.linked_pairs(read(spark, sf_dir, "entities"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.resolve(read(spark, sf_dir, "entities"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.repeated_lines(read(spark, sf_dir, "web_document"))
 
@@ -48,7 +56,7 @@ def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p6_ids, p7_mix, p7_shares, p8_found, p8_text)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clusters, p4_found, p4_clean, p6_ids, p7_mix, p7_shares, p8_found, p8_text)}
 
 
 def oracle_sql() -> dict[str, str]:
