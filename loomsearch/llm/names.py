@@ -21,7 +21,7 @@ NICKNAMES = {
 #: Words that organisations' names are made of, with spellings that are no
 #: abbreviation: legal forms, trades, then other words.
 ORG_WORDS = {
-    "corporation": "corp", "limited": "ltd", "incorporated": "inc", "foundation": "fdn", "university": "univ", "institute": "inst", "gmbh": "gesellschaft mbh", "sa": "societe anonyme",
+    "corporation": "corp", "limited": "ltd", "incorporated": "inc", "foundation": "fdn", "university": "univ uni", "institute": "inst", "gmbh": "gesellschaft mbh", "sa": "societe anonyme",
     "aviation": "", "textiles": "", "research": "", "logistics": "", "publishing": "", "energy": "", "instruments": "", "software": "sw", "marine": "", "foods": "", "laboratories": "labs",
     "systems": "", "united": "", "northern": "", "general": "", "coastal": "", "international": "intl", "applied": "", "national": "", "company": "co", "agency": "", "group": "", "press": "",
 }
@@ -132,7 +132,7 @@ def person_level(a: tuple[str, list[str]], b: tuple[str, list[str]], common: fro
 def parse_org(text: str, common: frozenset[str]) -> tuple[str, list[str]] | None:
     """(own name, common words) of a spelling; own name "" with its letters for an acronym."""
     spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", re.sub(r"\([^)]*\)", " ", text))
-    folded = fold(spaced)
+    folded = fold(spaced).replace("'", "").replace("\u2019", "")
     dotted = set(re.findall(r"([^\W\d_]+)\.", folded))
     words = [w for w in re.findall(r"[^\W\d_]+", folded) if w not in ("the", "of", "and", "mbh", "anonyme")]
     if re.fullmatch(r"(?:[A-Z]\.?){2,5}", text.strip()):

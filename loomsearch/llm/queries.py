@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsearch.llm import entities, lookalike, mixing, neardup, sitelines, tokens
+from loomsearch.llm import boilerplate, entities, lookalike, mixing, neardup, sitelines, tokens
 from loomsearch.plans.runtime import read
 
 
@@ -35,6 +35,14 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.without_repeated(read(spark, sf_dir, "web_document"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.article(read(spark, sf_dir, "web_document"))
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.article_text(read(spark, sf_dir, "web_document"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, sf_dir, "documents"))
 
@@ -56,7 +64,7 @@ def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clusters, p4_found, p4_clean, p6_ids, p7_mix, p7_shares, p8_found, p8_text)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clusters, p4_found, p4_clean, p5_found, p5_text, p6_ids, p7_mix, p7_shares, p8_found, p8_text)}
 
 
 def oracle_sql() -> dict[str, str]:
