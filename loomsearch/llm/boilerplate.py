@@ -147,7 +147,7 @@ def article_lines(title: str | None, body: str, headings: list[str] | None, odds
     main = []
     for (_, line, ws, s), v in zip(lines, score):
         # A full sentence may be about a template's subject; text that lost its end is still text.
-        least = {"p": 0.0, "li": 0.0, "s": 0.0, "x": 1.0}[s]
+        least = {"p": 0.0, "li": 0.0, "s": 0.0 if line.rstrip().endswith(".") else 1.0, "x": 1.0}[s]
         if s == "s" and len(ws) >= 8 and line.rstrip().endswith("."):
             least = -2.0
         main.append(v > least and (s != "x" or len(ws) >= LONG_LINE))
