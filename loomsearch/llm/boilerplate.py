@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pages of a host that are aligned with one another, and with how many of these each is.
-GROUP, PARTNERS = 48, 4
+GROUP, PARTNERS = 48, 3
 #: A line is constant if it matches in this many of its page's alignments.
 CONSTANT = 2
 #: Words and word pairs are counted in this many hashed cells.
@@ -72,7 +72,9 @@ def tree_match(a: list[tuple], b: list[tuple]) -> list[tuple[int, int, float]]:
     weight = []
     for i, (sa, wa, xa) in enumerate(a):
         for j, (sb, wb, xb) in enumerate(b):
-            if sa == sb and 2 * len(xa & xb) >= max(len(xa), len(xb)) > 0:
+            if sa != sb or not xa or 2 * len(xa) < len(xb) or 2 * len(xb) < len(xa):
+                continue
+            if 2 * len(xa & xb) >= max(len(xa), len(xb)):
                 c = len(wa) if wa == wb else common_series(wa, wb)
                 if 2 * c >= max(len(wa), len(wb)):
                     weight.append((i, j, 1 + c, c / max(len(wa), len(wb))))
@@ -138,12 +140,27 @@ def is_headline(words: list[str], title: list[str]) -> bool:
     return c >= min(2, len(words)) and 10 * c >= 6 * len(words) and 2 * c >= len(title)
 
 
-def article_lines(title: str | None, body: str, headings: list[str] | None, odds: np.ndarray, cache: dict[str, int]) -> list[int]:
+def line_score(words: list[str], odds: np.ndarray, cache: dict[str, float]) -> float:
+    """Mean log-odds of a line's words and word pairs; lines without words are furniture."""
+    if not words:
+        return -9.0
+    total = 0.0
+    for w in [*words, *map(" ".join, zip(words, words[1:]))]:
+        v = cache.get(w)
+        if v is None:
+            if len(cache) > 1_000_000:
+                cache.clear()
+            v = cache[w] = float(odds[xxhash.xxh3_64_intdigest(w) % CELLS])
+        total += v
+    return total / (2 * len(words) - 1)
+
+
+def article_lines(title: str | None, body: str, headings: list[str] | None, odds: np.ndarray, cache: dict[str, float]) -> list[int]:
     """Numbers of the lines that belong to the article."""
     lines = page_lines(body)
     heads = {tuple(line_words(h)) for h in headings or [] if h}
     top = line_words(title or "")
-    score = [float(odds[cells(ws, cache)].mean()) if ws else -9.0 for _, _, ws, _ in lines]
+    score = [line_score(ws, odds, cache) for _, _, ws, _ in lines]
     main = []
     for (_, line, ws, s), v in zip(lines, score):
         # A full sentence may be about a template's subject; text that lost its end is still text.
@@ -174,7 +191,9 @@ def learn(pages: DataFrame) -> np.ndarray:
     """Log-odds of content against template by hashed cell, counted over all groups of pages."""
     hosts = pages.where(F.col("domain").isNotNull() & (F.length("body") > 0)).select("id", "domain", "body")
     groups = hosts.groupBy("domain").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("groups"))
-    grouped = hosts.join(groups, "domain").groupBy("domain", F.pmod(F.xxhash64("id"), "groups").alias("group")).agg(F.collect_list("body").alias("pages"))
+    # Without its own exchange the grouping would take over the join's, a whole host in one task.
+    placed = hosts.join(groups, "domain").select("domain", F.pmod(F.xxhash64("id"), "groups").alias("group"), "body").repartition("domain", "group")
+    grouped = placed.groupBy("domain", "group").agg(F.collect_list("body").alias("pages"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -182,8 +201,8 @@ def learn(pages: DataFrame) -> np.ndarray:
         for b in batches:
             for pages_of in b.column(0).to_pylist():
                 for side, lines in enumerate(group_labels(sorted(pages_of))):
-                    for ws in lines:
-                        np.add.at(total[side], cells(ws, cache), 1)
+                    found = [c for ws in lines for c in cells(ws, cache)]
+                    np.add.at(total[side], np.array(found, dtype=np.int64), 1)
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0][at]), pa.array(total[1][at])], ["cell", "template", "content"])
 
@@ -216,7 +235,7 @@ def article(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     id_type = pages.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        cache: dict[str, float] = {}
         for b in batches:
             rows = []
             for i, title, body, headings, chunks in zip(*(c.to_pylist() for c in b.columns)):
