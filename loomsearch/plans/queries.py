@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsearch.operators import shred
+from loomsearch.plans.catalog import CATALOG
 from loomsearch.plans.runtime import read
 
 
@@ -27,8 +28,8 @@ def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_fields, p3_tables)}
+    return {name: f for name, (f, _) in CATALOG.items()} | {f.__name__: f for f in (p3_found, p3_fields, p3_tables)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in CATALOG.items()}
