@@ -15,7 +15,7 @@ def canonical(url: Column) -> Column:
     """Host and path of a URL: scheme, ``www.``, port, query, fragment and last slash dropped."""
     bare = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     bare = F.regexp_replace(bare, r"[?#].*$", "")
-    at = F.lower(F.regexp_replace(F.regexp_extract(bare, r"^([^/]*)", 1), r"^(www\.)|:[0-9]+$", ""))
+    at = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/]*)", 1)), r"^(www\.)|:[0-9]+$", "")
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/]*(.*)$", 1), r"/+$", "")
     return F.concat(at, path)
 
