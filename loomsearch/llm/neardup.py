@@ -31,6 +31,8 @@ SHINGLE = 3
 REGION_WORDS, REGION_LEAST = 6, 3
 #: The share of a page's words in its most common regions that gives no keys.
 COMMON_SHARE = 0.2
+#: A region on so few pages always gives keys: it costs little, whatever the collection's size.
+FEW_PAGES = 8
 #: Keys of a page: those of all its regions, and near ones of the least hash up to this many.
 KEYS = 36
 #: Bits of 256 in which the sketches of a pair agree at least; 0.5 of shingles in common
@@ -124,8 +126,10 @@ def choose_keys(rows: list[dict]) -> np.ndarray:
     pair = np.array([r["pair"] for r in rows], dtype=np.int64)
     rest = np.array([r["rest"] for r in rows], dtype=np.int64)
     lens = rest & 0xFFFFFFFFFF
-    order = np.argsort(-np.array([r["pages"] for r in rows]), kind="stable")
-    rare = order[np.cumsum(lens[order]) > COMMON_SHARE * lens.sum()]
+    pages = np.array([r["pages"] for r in rows])
+    # Ties go by a hash of the region, so similar pages leave out the same ones.
+    order = np.lexsort((mix(pair.astype(np.uint64)), -pages))
+    rare = order[(np.cumsum(lens[order]) > COMMON_SHARE * lens.sum()) | (pages[order] <= FEW_PAGES)]
     first, other = region_keys(pair[rare], rest[rare] >> 40)
     own, near = np.unique(first), np.setdiff1d(other, first)
     spare = KEYS - len(own)
