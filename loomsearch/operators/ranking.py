@@ -43,14 +43,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 512) -> DataFrame:
     """(query_id, id, closeness, rank): exact k nearest vectors of a stated set of queries.
 
-    Queries go in ``blocks`` to all rows: each row meets each block once, keeps the best k of a
-    task's rows for a query, and only these are ranked, so what moves is the queries' best
-    and not the pairs. Vectors that are null give nothing.
+    Queries go to all rows in blocks of about ``block_rows``: each row meets each block once,
+    the best k of each of 64 parts of the rows are kept for a query, and only these are
+    ranked together. Vectors that are null give nothing.
     """
-    q = queries.where("vector is not null").select("query_id", F.col("vector").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    q = queries.where("vector is not null").select("query_id", F.col("vector").alias("q"))
+    blocks = max(1, -(-q.count() // block_rows))
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     blocked = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
     v = vectors.where("vector is not null").select("id", F.col("vector").alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     pairs = v.join(blocked, "block").select("id", "v", F.explode("qs").alias("x")).select(F.col("x.query_id").alias("query_id"), "id", closeness(dot(F.col("x.q"), F.col("v"))).alias("closeness"))
