@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Pages of a host that are aligned with one another, and with how many of these each is.
 GROUP, PARTNERS = 48, 3
+#: Parts into which a host's pages are spread while they learn their host's number of groups.
+SPREAD = 64
 #: A line is constant if it matches in this many of its page's alignments.
 CONSTANT = 2
 #: Words and word pairs are counted in this many hashed cells.
@@ -189,10 +191,11 @@ def article_lines(title: str | None, body: str, headings: list[str] | None, odds
 
 def learn(pages: DataFrame) -> np.ndarray:
     """Log-odds of content against template by hashed cell, counted over all groups of pages."""
-    hosts = pages.where(F.col("domain").isNotNull() & (F.length("body") > 0)).select("id", "domain", "body")
-    groups = hosts.groupBy("domain").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("groups"))
+    hosts = pages.where(F.col("domain").isNotNull() & (F.length("body") > 0)).select("domain", "body", F.xxhash64("id").alias("h"))
+    hosts = hosts.withColumn("part", F.pmod(F.shiftright("h", 32), F.lit(SPREAD)))
+    groups = hosts.groupBy("domain").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("groups")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>")))
     # Without its own exchange the grouping would take over the join's, a whole host in one task.
-    placed = hosts.join(groups, "domain").select("domain", F.pmod(F.xxhash64("id"), "groups").alias("group"), "body").repartition("domain", "group")
+    placed = hosts.join(groups, ["domain", "part"]).select("domain", F.pmod("h", "groups").alias("group"), "body").repartition("domain", "group")
     grouped = placed.groupBy("domain", "group").agg(F.collect_list("body").alias("pages"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
