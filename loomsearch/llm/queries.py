@@ -67,5 +67,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clusters, p4_found, p4_clean, p5_found, p5_text, p6_ids, p7_mix, p7_shares, p8_found, p8_text)}
 
 
+P4_FOUND = r"""
+    WITH l AS (SELECT doc_id, domain, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1))::INT AS line_no FROM web_document WHERE domain IS NOT NULL AND body <> ''),
+    x AS (SELECT doc_id, domain, line_no, regexp_replace(trim(regexp_replace(lower(line), '[\s\x0b\x{85}\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g')), '[0-9]+', '0', 'g') AS t FROM l),
+    g AS (SELECT domain, t FROM x WHERE t <> '' GROUP BY domain, t HAVING count(DISTINCT doc_id) >= 8)
+    SELECT doc_id, line_no FROM x JOIN g USING (domain, t)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_FOUND}
