@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomsearch.plans.runtime import stage
+
 K1, B = 1.2, 0.75
 
 
@@ -31,7 +33,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: Column) -> Data
     lengths = docs.select(F.coalesce(F.size(words(F.coalesce(text, F.lit("")))), F.lit(0)).alias("len"))
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     asked = queries.select("term").distinct()
-    hits = postings(docs, id_col, text).join(asked, "term", "left_semi")
+    hits = stage(postings(docs, id_col, text).join(asked, "term", "left_semi"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(stats)).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
