@@ -6,11 +6,12 @@ own names with up to one letter left out, so two names that differ by one letter
 block, and compared in pairs. Matched profiles are merged: spellings, initials and what is
 known of them are united, and the merged, richer profiles enter blocking again, until no
 merge occurs. Links that rest on an initial alone wait until the clear ones are merged, and
-hold only if a single profile answers to them.
+hold only if a single full profile answers to them, or a single short one and no full one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,7 +47,8 @@ def parsed(rows: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
         forms = sorted({(f[0], tuple(f[1])) for f in (parse(s, common[kind]) for s in [name, *(aliases or [])] if s) if f})
         trade, place = names.about(kind, text)
         host = names.fold(domain or "")
-        own = [host] if any(f[0] and f[0] in host for f in forms) else []
+        parts = re.split(r"[^\w]+", host)
+        own = [host] if any(f[0] and (f[0] in host or any(len(p) > 3 and names.near(f[0], p) for p in parts)) for f in forms) else []
         return kind, [{"own": a, "words": list(b)} for a, b in forms], [trade] if trade else [], [place] if place else [], own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +165,12 @@ def resolve(entities: DataFrame, max_rounds: int = 8) -> DataFrame:
             continue
         # No clear match is left: look at all links on initials once the profiles are at their richest.
         weak = found if fresh is None else stage(matches(profiles, common, None))
-        sides = weak.where("short_a").select(F.col("a").alias("short"), F.col("b").alias("other")).union(weak.where("short_b").select("b", "a"))
-        sure = sides.distinct().groupBy("short").agg(F.count("*").alias("n"), F.min("other").alias("other")).where("n = 1").select(F.col("short").alias("a"), F.col("other").alias("b"))
+        sides = weak.where("short_a").select(F.col("a").alias("short"), F.col("b").alias("other"), F.col("short_b").alias("other_short"))
+        sides = sides.union(weak.where("short_b").select("b", "a", "short_a")).distinct()
+        # Other short profiles do not make an answer doubtful where one full profile answers.
+        full = F.when(~F.col("other_short"), F.col("other"))
+        answers = sides.groupBy("short").agg(F.count("*").alias("n"), F.count(full).alias("n_full"), F.min("other").alias("other"), F.min(full).alias("full"))
+        sure = answers.where("n_full = 1 or (n_full = 0 and n = 1)").select(F.col("short").alias("a"), F.coalesce("full", "other").alias("b"))
         if sure.isEmpty():
             break
         profiles, members, fresh = merge(profiles, members, sure)

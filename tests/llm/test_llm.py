@@ -159,6 +159,14 @@ def test_resolution(spark):
     assert entities.resolve(df.limit(0)).count() == 0
 
 
+def test_initials_answer_to_the_full_profile(spark):
+    schema = "entity_id string, node_type string, name string, aliases array<string>, description string, official_domain string"
+    rows = [("a", "Elizabeth Vinvatrodor"), ("b", "E. Vinvatsodor"), ("c", "E. Vynvatrodor"), ("d", "Dorothy Kaltrunugo"), ("e", "Daniel Kaltrunugo"), ("f", "D. Kaltrunugo")]
+    df = spark.createDataFrame([(i, "Person", n, None, None, None) for i, n in rows], schema)
+    got = {tuple(r) for r in entities.linked_pairs(df).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c")}  # F answers to two full profiles and stays alone
+
+
 # Boilerplate
 
 
