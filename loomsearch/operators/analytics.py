@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomsearch.operators.ranking import best_of
+
 
 def once(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row for each key: the first by ``order``, as an aggregate that combines before the shuffle."""
@@ -91,3 +93,51 @@ def changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFr
     a, b = before.select(key, F.col(value).alias("was")).withColumn("in_a", F.lit(True)), after.select(key, F.col(value).alias("now")).withColumn("in_b", F.lit(True))
     change = F.when(F.col("in_a").isNull(), "new").when(F.col("in_b").isNull(), "gone").when(F.col("was").eqNullSafe(F.col("now")), "same").otherwise("changed")
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
+
+
+def repeats_within(log: DataFrame, key: str, ts: str, id_col: str, seconds: int = 86_400) -> DataFrame:
+    """(id_col, key, hit): whether the same key came before, at most ``seconds`` earlier, so that a cache would hold it.
+
+    The rows of a key are looked at by windows as long as the cache's time, each with the last
+    time of the window before; a key that holds a tenth of the log is spread over its windows.
+    Null keys and times are no request.
+    """
+    rows = log.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(id_col, key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    rows = rows.withColumn("bucket", F.floor(F.col("t") / (seconds * 1_000_000)))
+    last = rows.groupBy(key, (F.col("bucket") + 1).alias("bucket")).agg(F.max("t").alias("before"))
+    own = F.lag("t").over(Window.partitionBy(key, "bucket").orderBy("t", id_col))
+    seen = rows.withColumn("own", own).join(last, [key, "bucket"], "left")
+    return seen.select(id_col, key, F.coalesce(F.col("t") - F.coalesce("own", "before") <= seconds * 1_000_000, F.lit(False)).alias("hit"))
+
+
+def hit_rate(hits: DataFrame, *by: str) -> DataFrame:
+    """(by, hits, misses, rate): rate is null where nothing was asked."""
+    out = hits.groupBy(*by).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return out.withColumn("rate", F.round(F.col("hits") / F.nullif(F.col("hits") + F.col("misses"), F.lit(0)), 6))
+
+
+def metric_report(rows: DataFrame, id_col: str, metrics: tuple[str, ...], worst: int = 3) -> DataFrame:
+    """(metric, n, mean, worst): mean of each metric over its non-null rows and its lowest rows' ids.
+
+    The lowest rows are a top-k of each metric, so no metric's rows meet in one task.
+    """
+    means = rows.agg(*[F.struct(F.count(m).alias("n"), F.avg(m).alias("mean")).alias(m) for m in metrics])
+    stats = means.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), f"{m}.n", f"{m}.mean") for m in metrics])).alias("s")).select("s.*")
+    low = None
+    for m in metrics:
+        top = rows.where(F.col(m).isNotNull()).orderBy(F.round(m, 9), id_col).limit(worst).select(F.lit(m).alias("metric"), F.struct(F.round(m, 9).alias("v"), F.col(id_col).alias("i")).alias("x"))
+        low = top if low is None else low.union(top)
+    ids = low.groupBy("metric").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["i"]).alias("worst"))
+    return stats.join(ids, "metric", "left")
+
+
+def hypotheses(candidates: DataFrame, key: str, budget: int = 4, longest: int = 200) -> DataFrame:
+    """(key, place, text, weight): the ways to ask one thing, best weight first, each once whatever its case.
+
+    ``candidates`` hold key, text and weight. Empty texts and those over ``longest`` characters go;
+    ``budget`` ways stay, a feature of the operator.
+    """
+    usable = candidates.where((F.trim("text") != "") & (F.length("text") <= longest)).withColumn("low", F.lower(F.trim("text")))
+    best = F.struct(-F.col("weight"), F.trim("text"))
+    once = usable.groupBy(key, "low").agg(F.min(best).alias("b")).select(key, F.col("b.col2").alias("text"), (-F.col("b.col1")).alias("weight"))
+    return best_of(once, [key], [F.col("weight").desc(), F.lower("text")], budget).withColumnRenamed("rank", "place")

@@ -76,3 +76,55 @@ def fuse(lists: DataFrame, keys: list[str], item: str, k: int = 60) -> DataFrame
 def base_score(pos: Column) -> Column:
     """Score of a result by its place in its list: 1, 0.95, 0.9 and so on, not below 0."""
     return F.greatest(F.lit(0.0), 1 - 0.05 * (pos - 1))
+
+
+def best_of(rows: DataFrame, keys: list[str], order: list[Column], k: int, parts: int = 64) -> DataFrame:
+    """The k first rows of each key by ``order``, ranked: first within each of ``parts`` parts of a key, then among these.
+
+    A key that holds a third of all rows is thus sorted in parts, and only k rows of each meet.
+    """
+    slot = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(parts))
+    first = rows.withColumn("_slot", slot).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order))).where(F.col("_n") <= k)
+    return first.drop("_slot", "_n").withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def index_confidence(n: Column, top_lexical: Column, top_semantic: Column) -> Column:
+    """How far an index's own results can be trusted: the better of its two best scores, damped where fewer than six came."""
+    depth = F.least(F.lit(1.0), n / 6)
+    return F.when(n > 0, F.least(F.lit(1.0), F.greatest(top_lexical, top_semantic)) * (0.5 + 0.5 * depth)).otherwise(0.0)
+
+
+def merge(index: DataFrame, external: DataFrame, trust: DataFrame, key: str, item: str, least: float = 0.75) -> DataFrame:
+    """(key, place, item, origin): the index's results and those from outside it as one list.
+
+    ``index`` and ``external`` hold key, item and ``rank``, ``trust`` holds key and ``confidence``. Outside
+    results that the index has too stay out. Where confidence reaches ``least`` the index
+    goes first, else the outside; keys without confidence count as 0.
+    """
+    outside = external.join(index.select(key, item), [key, item], "left_anti").select(key, item, "rank", F.lit("external").alias("origin"))
+    both = index.select(key, item, "rank", F.lit("index").alias("origin")).union(outside).join(trust.select(key, "confidence"), key, "left")
+    trusted = F.coalesce(F.col("confidence"), F.lit(0.0)) >= least
+    bucket = F.when(trusted == (F.col("origin") == "index"), 0).otherwise(1)
+    return both.select(key, item, "origin", F.row_number().over(Window.partitionBy(key).orderBy(bucket, "rank", item)).alias("place"))
+
+
+#: What a page on an official host gains by its path's depth, and what general sites lose.
+HOMEPAGE_BOOST = (1.0, 0.6, 0.3, 0.1)
+GENERAL_SITES = {"wikipedia.org": 0.15, "github.com": 0.10, "reddit.com": 0.10, "stackoverflow.com": 0.05, "medium.com": 0.05, "quora.com": 0.05}
+
+
+def on_host(domain: Column, official: Column) -> Column:
+    """The domain is the official one or below it, ``www.`` aside; names that merely end alike are not."""
+    d, o = (F.regexp_replace(F.lower(c), r"^www\.", "") for c in (domain, official))
+    return F.coalesce((d == o) | d.endswith(F.concat(F.lit("."), o)), F.lit(False))
+
+
+def official_score(pos: Column, domain: Column, path: Column, official: Column) -> Column:
+    """Score of a result where the query's official host is known: its pages first, by how near they are to its front page."""
+    base = base_score(pos)
+    depth = F.least(F.size(F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != "")), F.lit(len(HOMEPAGE_BOOST) - 1))
+    home = F.element_at(F.array(*map(F.lit, HOMEPAGE_BOOST)), depth + 1)
+    loss = F.lit(0.0)
+    for site, x in GENERAL_SITES.items():
+        loss = F.when(on_host(domain, F.lit(site)), x).otherwise(loss)
+    return F.when(on_host(domain, official), 2 + home + 0.05 * base).otherwise(base - loss)
