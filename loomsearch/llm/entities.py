@@ -25,17 +25,33 @@ from loomsearch.plans.runtime import stage
 KINDS = ("Person", "Organization")
 FORMS = "array<struct<own:string,words:array<string>>>"
 PROFILE = ["kind", "forms", "trades", "places", "domains"]
-#: A word is common if this share of its kind's rows has it, and this many rows.
-COMMON_SHARE, COMMON_ROWS = 0.01, 50
+#: A word is common if it stands beside own names with this many different beginnings (two letters).
+COMMON_OWN = 12
 
 
 def common_words(rows: DataFrame) -> dict[str, frozenset[str]]:
-    """Words in at least one in a hundred rows of a kind: a few hundred at most, at any size."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "name", F.concat_ws(" ", "aliases"))), F.lit(r"\p{L}{2,}"), F.lit(0))))
-    counts = rows.select("kind", word.alias("word")).groupBy("kind", "word").agg(F.count("*").alias("n"))
-    sizes = rows.groupBy("kind").agg(F.count("*").alias("rows"))
-    found = counts.join(F.broadcast(sizes), "kind").where((F.col("n") >= COMMON_SHARE * F.col("rows")) & (F.col("n") >= COMMON_ROWS)).select("kind", "word").collect()
-    return {k: frozenset(names.fold(r["word"]) for r in found if r["kind"] == k) for k in KINDS}
+    """Words outside the fixed tables that stand beside many different own names.
+
+    The own name of a spelling is the rarest of its unknown words. Neither copies nor the
+    rows of one entity make a word common: spellings of the same words count once, and own
+    names by their beginning, which misspellings seldom touch. The number of rows is no matter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [names.unknown_words(k, s) for k, s in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["kind", "words"])
+
+    spelling = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    typed = rows.select("kind", spelling.alias("s")).where("s is not null").distinct()
+    once = typed.mapInArrow(run, "kind string, words array<string>").where("size(words) > 0").distinct()
+    each = stage(once.select("kind", "words", F.explode("words").alias("word")))
+    uses = each.groupBy("kind", "word").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct("n", -F.length("word"), "word"))["word"]
+    own = each.where("size(words) > 1").join(uses, ["kind", "word"]).groupBy("kind", "words").agg(rarest.alias("own"))
+    beside = own.select("kind", F.substring("own", 1, 2).alias("start"), F.explode(F.array_remove("words", F.col("own"))).alias("word")).distinct()
+    found = beside.groupBy("kind", "word").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_OWN).select("kind", "word").collect()
+    return {k: frozenset(r["word"] for r in found if r["kind"] == k) for k in KINDS}
 
 
 def parsed(rows: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:

@@ -71,11 +71,9 @@ def given_words(word: str, common: frozenset[str]) -> set[str]:
         return {word}
     if word in _NICK:
         return _NICK[word]
-    if word in common:
-        return {word}
-    if len(word) >= 4:
-        return {g for w, full in _NICK.items() if len(w) >= 4 and near(word, w) for g in full}
-    return set()
+    # A misspelling stays one where many rows have it.
+    alike = {g for w, full in _NICK.items() if len(w) >= 4 and near(word, w) for g in full} if len(word) >= 4 else set()
+    return alike or ({word} if word in common else set())
 
 
 def parse_person(text: str, common: frozenset[str]) -> tuple[str, list[str]] | None:
@@ -129,32 +127,56 @@ def person_level(a: tuple[str, list[str]], b: tuple[str, list[str]], common: fro
     return level
 
 
-def parse_org(text: str, common: frozenset[str]) -> tuple[str, list[str]] | None:
-    """(own name, common words) of a spelling; own name "" with its letters for an acronym."""
+def org_words(text: str) -> list[tuple[str, str]]:
+    """(word, fixed word it is, is like or abbreviates) of an organisation's spelling.
+
+    The second is empty for other words, and has alternatives parted by | where an
+    abbreviation leaves a choice. An acronym has no words.
+    """
+    if re.fullmatch(r"(?:[A-Z]\.?){2,5}", text.strip()):
+        return []
     spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", re.sub(r"\([^)]*\)", " ", text))
     folded = fold(spaced).replace("'", "").replace("\u2019", "")
     dotted = set(re.findall(r"([^\W\d_]+)\.", folded))
     words = [w for w in re.findall(r"[^\W\d_]+", folded) if w not in ("the", "of", "and", "mbh", "anonyme")]
-    if re.fullmatch(r"(?:[A-Z]\.?){2,5}", text.strip()):
-        return "", [re.sub(r"\W", "", folded)]
-    own, shared = [], []
+    out = []
     for w in words:
         w = {"gesellschaft": "gmbh", "societe": "sa"}.get(w, _FORMS.get(w, w))
-        if w in ORG_WORDS or w in common:
-            shared.append(w)
+        if w in ORG_WORDS:
+            out.append((w, w))
             continue
         short = [k for k in ORG_WORDS if _short_of(w, k)] if w in dotted or len(w) <= 6 else []
         alike = [k for k in ORG_WORDS if len(w) >= 5 and near(w, k)]
         if alike:
-            shared.append(alike[0])
+            out.append((w, alike[0]))
         elif short and (w in dotted or len(words) > 1) and len(w) <= 6:
             starts = [k for k in short if k.startswith(w)] or short
-            shared.append("|".join(sorted(starts)))
+            out.append((w, "|".join(sorted(starts))))
         else:
-            own.append(w)
+            out.append((w, ""))
+    return out
+
+
+def parse_org(text: str, common: frozenset[str]) -> tuple[str, list[str]] | None:
+    """(own name, common words) of a spelling; own name "" with its letters for an acronym."""
+    if re.fullmatch(r"(?:[A-Z]\.?){2,5}", text.strip()):
+        return "", [re.sub(r"\W", "", fold(text))]
+    words = org_words(text)
+    rest = [w for w, known in words if not known]
+    # Where all words are common, the longest is the own name.
+    own = [w for w in rest if w not in common] or sorted(rest, key=len)[-1:]
     if not own or (len(own) == 1 and own[0] in GENERIC):
         return None
-    return max(own, key=len), shared
+    return max(own, key=len), [known or w for w, known in words if known or w not in own]
+
+
+def unknown_words(kind: str, text: str) -> list[str]:
+    """Words of a spelling that no table of fixed values knows, each once."""
+    if kind == "Person":
+        found = [w for w in re.findall(r"[^\W\d_]+", re.sub(r"\([^)]*\)", " ", fold(text))) if not given_words(w, frozenset())]
+    else:
+        found = [w for w, known in org_words(text) if not known]
+    return sorted({w for w in found if len(w) > 1 and w not in TITLES | GENERIC})
 
 
 def _word_in(w: str, words: list[str]) -> bool:

@@ -167,6 +167,20 @@ def test_initials_answer_to_the_full_profile(spark):
     assert got == {("a", "b"), ("a", "c"), ("b", "c")}  # F answers to two full profiles and stays alone
 
 
+def test_common_abbreviations_and_copies(spark):
+    rng = random.Random(11)
+    own = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(6)).capitalize() for _ in range(61)]
+    rows = [(f"{n:02d}{x}", f"{o} {w}") for n, o in enumerate(own[:60]) for x, w in (("a", "Publ."), ("b", "Publishing Ltd"), ("c", "Textiles Ltd"))]
+    rows += [(f"z{n:02d}", f"{own[60]} Ltd") for n in range(60)]  # copies of one name
+    schema = "entity_id string, node_type string, name string, aliases array<string>, description string, official_domain string"
+    df = spark.createDataFrame([(i, "Organization", n, None, None, None) for i, n in rows], schema)
+    got = {tuple(r) for r in entities.linked_pairs(df).collect()}
+    assert got == {(f"{n:02d}a", f"{n:02d}b") for n in range(60)} | set(combinations([i for i, _ in rows if i[0] == "z"], 2))
+    blue = spark.createDataFrame([("Organization", f"{o} Bluewhale", None) for o in own], "kind string, name string, aliases array<string>")
+    common = entities.common_words(blue)["Organization"]
+    assert common == {"bluewhale"} and names.parse_org("Bluewhale Ltd", common) == ("bluewhale", ["limited"])
+
+
 # Boilerplate
 
 
