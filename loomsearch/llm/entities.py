@@ -155,7 +155,7 @@ def merge(profiles: DataFrame, members: DataFrame, links: DataFrame) -> tuple[Da
     return stage(kept.unionByName(moved)), stage(members), group.select(F.col("component").alias("pid")).distinct()
 
 
-def resolve(entities: DataFrame, max_rounds: int = 8) -> DataFrame:
+def resolve(entities: DataFrame) -> DataFrame:
     """(entity_id, kind, cluster_id): one row for each person or organisation row with an id.
 
     ``cluster_id`` is the least id of its cluster. Rows whose name and aliases are null,
@@ -173,7 +173,8 @@ def resolve(entities: DataFrame, max_rounds: int = 8) -> DataFrame:
     profiles = once
     members = stage(named.join(once, PROFILE).select("id", "pid").union(bare).distinct())
     fresh = None
-    for _ in range(max_rounds):
+    # Each round but the last makes the profiles fewer, so the rounds end.
+    while True:
         found = stage(matches(profiles, common, fresh))
         clear = found.where("level = 2")
         if not clear.isEmpty():

@@ -181,6 +181,15 @@ def test_common_abbreviations_and_copies(spark):
     assert common == {"bluewhale"} and names.parse_org("Bluewhale Ltd", common) == ("bluewhale", ["limited"])
 
 
+def test_rounds_go_on_until_nothing_merges(spark):
+    # Each name is near the next only, and agrees in its domain with the one before: one merge a round.
+    own = ["u" * n + "qwzxvkjqwzxvkj"[n:] for n in range(12)]
+    hosts = [".".join(own[k::2]) + ".example" for k in (0, 1)]
+    rows = [(f"{n:02d}", "Organization", o.capitalize() + (" Energy" if n < 2 else ""), None, None, hosts[n % 2]) for n, o in enumerate(own)]
+    df = spark.createDataFrame(rows, "entity_id string, node_type string, name string, aliases array<string>, description string, official_domain string")
+    assert {r["cluster_id"] for r in entities.resolve(df).collect()} == {"00"}
+
+
 # Boilerplate
 
 
