@@ -3,9 +3,10 @@
 A page is a tree: the page, its lines with a shape for a tag, their words. Pages of a host
 are put into groups of bounded size and each is aligned with others of its group by simple
 tree matching: lines of equal shape match by the longest common series of their words, pages
-by the heaviest ordered matching of their lines. A line whose words are the same in several
-aligned pages is constant and becomes template; a line of running text that stays unmatched
-is a varying slot and becomes content. The words of both, counted over all pages, tell
+by the heaviest ordered matching of their lines. Copies and near-copies of a page enter once,
+so that only different articles are aligned. A line that is the same in enough of all the
+group's different pages is constant and becomes template; a line of running text that is
+in no other page is a varying slot and becomes content. The words of both, counted over all pages, tell
 template from content also where a host has few pages or a template's slots are filled
 differently: each line gets the log-odds of its words, in a hashed table of fixed size.
 
@@ -16,7 +17,9 @@ lists of links, is furniture.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 GROUP, PARTNERS = 48, 3
 #: Parts into which a host's pages are spread while they learn their host's number of groups.
 SPREAD = 64
-#: A line is constant if it matches in this many of its page's alignments.
-CONSTANT = 2
+#: A line is constant if this many other pages of its group have it, and this share of the group.
+CONSTANT, CONSTANT_SHARE = 2, 0.25
+#: Pages are near-copies if this share of their word pairs is common, the rare ones of a group weighing most.
+NEAR_COPY = 0.4
 #: Words and word pairs are counted in this many hashed cells.
 CELLS = 1 << 18
 #: Words of a line of running text.
@@ -115,19 +120,49 @@ def page_lines(body: str) -> list[tuple[int, str, list[str], str]]:
     return out
 
 
+def different(pages: list[str]) -> list[str]:
+    """One page of each set of copies and near-copies, in an order that is not that of their words."""
+    pages = sorted(set(pages), key=lambda p: (xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")), p))
+    sets = []
+    for p in pages:
+        ws = line_words(p)
+        sets.append(frozenset(zip(ws, ws[1:])))
+    # What all pages of a host have weighs next to nothing, so a large template makes no near-copies.
+    df = Counter(x for s in sets for x in s)
+    weight = {x: math.log((len(pages) + 1) / n) for x, n in df.items()}
+    total = [sum(weight[x] for x in s) for s in sets]
+    root = list(range(len(pages)))
+
+    def find(n: int) -> int:
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for j in range(len(pages)):
+        for i in range(j):
+            if find(i) != find(j) and NEAR_COPY * max(total[i], total[j]) <= min(total[i], total[j]):
+                both = sum(weight[x] for x in sets[i] & sets[j])
+                if both and both >= NEAR_COPY * (total[i] + total[j] - both):
+                    x, y = find(i), find(j)
+                    root[max(x, y)] = min(x, y)
+    return [p for n, p in enumerate(pages) if find(n) == n]
+
+
 def group_labels(pages: list[str]) -> tuple[list[list[str]], list[list[str]]]:
     """Word lists of template lines and of content lines in one group of a host's pages."""
-    trees = [[(s, ws, frozenset(ws)) for _, _, ws, s in page_lines(p)] for p in pages]
+    trees = [[(s, ws, frozenset(ws)) for _, _, ws, s in page_lines(p)] for p in different(pages)]
+    having = Counter(x for tree in trees for x in {(s, *ws) for s, ws, _ in tree})
+    least = max(CONSTANT + 1, CONSTANT_SHARE * len(trees))
     template, content = [], []
     for k, tree in enumerate(trees):
         others = [trees[(k + d) % len(trees)] for d in range(1, min(PARTNERS, len(trees) - 1) + 1)]
-        same, seen = [0] * len(tree), [0] * len(tree)
+        seen = [having[(s, *ws)] - 1 for s, ws, _ in tree]
         for other in others:
-            for i, _, like in tree_match(tree, other):
+            for i, _, _ in tree_match(tree, other):
                 seen[i] += 1
-                same[i] += like >= 0.999
         for i, (s, ws, _) in enumerate(tree):
-            if same[i] >= CONSTANT and ws:
+            if having[(s, *ws)] >= least and ws:
                 template.append(ws)
             elif s == "p" and not seen[i]:
                 content.append(ws)
@@ -191,7 +226,7 @@ def article_lines(title: str | None, body: str, headings: list[str] | None, odds
 
 def learn(pages: DataFrame) -> np.ndarray:
     """Log-odds of content against template by hashed cell, counted over all groups of pages."""
-    hosts = pages.where(F.col("domain").isNotNull() & (F.length("body") > 0)).select("domain", "body", F.xxhash64("id").alias("h"))
+    hosts = pages.where(F.col("domain").isNotNull() & (F.length("body") > 0)).select("domain", "body").distinct().withColumn("h", F.xxhash64("body"))
     hosts = hosts.withColumn("part", F.pmod(F.shiftright("h", 32), F.lit(SPREAD)))
     groups = hosts.groupBy("domain").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("groups")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>")))
     # Without its own exchange the grouping would take over the join's, a whole host in one task.
@@ -203,7 +238,7 @@ def learn(pages: DataFrame) -> np.ndarray:
         total = np.zeros((2, CELLS), dtype=np.int64)
         for b in batches:
             for pages_of in b.column(0).to_pylist():
-                for side, lines in enumerate(group_labels(sorted(pages_of))):
+                for side, lines in enumerate(group_labels(pages_of)):
                     found = [c for ws in lines for c in cells(ws, cache)]
                     np.add.at(total[side], np.array(found, dtype=np.int64), 1)
         at = np.flatnonzero(total.any(axis=0))

@@ -218,6 +218,23 @@ def test_article(spark):
     assert boilerplate.article(df.limit(0)).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("bcdfghklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
+    sent = lambda words: (" ".join(rng.choice(words) for _ in range(14))).capitalize() + "."
+    menu, foot = "Home | News | Shop", "Sign up for the Acme newsletter and never miss a story from us again today."
+    text = [sent(vocab[:300]) for _ in range(4)]
+    rows = []
+    for n in range(40):
+        mine = [*text[:3], f"{text[3]} Note {n}."] if n < 20 else [sent(vocab[300:]) for _ in range(4)]
+        rows.append((f"d{n:02d}", "a.example", "", "\n".join([menu, *mine, foot]), [], []))
+    assert len(boilerplate.different([r[3] for r in rows])) == 21
+    template, content = boilerplate.group_labels([r[3] for r in rows])
+    assert boilerplate.line_words(foot) in template and not [t for t in text if boilerplate.line_words(t) in template]
+    got = {tuple(r) for r in boilerplate.article(spark.createDataFrame(rows, WEB)).where("unit = 'line'").collect()}
+    assert got == {(r[0], "line", k) for r in rows for k in (2, 3, 4, 5)}
+
+
 # Mixing
 
 
