@@ -244,7 +244,7 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", title_col: str = "tit
     return across.union(copies).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).where("doc_id_a <> doc_id_b").distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body", similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body", similarity: float = 0.5) -> DataFrame:
     """(id_col, group_id, links): one row per page that has shingles, with the least id of its
     group and the number of other classes it is similar to; copies of a page share a row's values."""
     pairs, members = similar_classes(docs, id_col, title_col, body_col, similarity)

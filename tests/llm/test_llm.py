@@ -124,6 +124,15 @@ def test_similar_pairs(spark):
     assert neardup.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_groups_hold_the_pairs(spark):
+    base = [f"word{n}" for n in range(200)]
+    rows = [("a", "t", " ".join(base)), ("b", "t", " ".join([*base[:150], *(f"other{n}" for n in range(50))])), ("c", "t", " ".join(f"far{n}" for n in range(200)))]
+    assert brute(rows, 0.5) == {("a", "b")} and brute(rows, 0.8) == set()
+    df = spark.createDataFrame(rows, "doc_id string, title string, body string")
+    assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == {("a", "b")}
+    assert {tuple(r) for r in neardup.similar_groups(df).collect()} == {("a", "a", 1), ("b", "a", 1), ("c", "c", 0)}
+
+
 def test_copies_of_one_page(spark):
     df = spark.range(300).select(F.format_string("c%04d", "id").alias("doc_id"), F.lit("t").alias("title"), F.lit("one two three four five six").alias("body"))
     assert neardup.similar_pairs(df).count() == 300 * 299 // 2
