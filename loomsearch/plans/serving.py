@@ -82,11 +82,10 @@ PLACED = f"""
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that mention an entity with an official domain, the 50 surest of each."""
+    """Every page that mentions an entity with an official domain, with its surest mention."""
     m = read(spark, d, "mentions").groupBy("entity_id", "doc_id").agg(F.max(F.coalesce("confidence", F.lit(0.0))).cast("double").alias("c"))
     e = read(spark, d, "entities").where(OFFICIAL).select("entity_id", "official_domain")
-    placed = ranking.best_of(m.join(e, "entity_id").join(read(spark, d, "web_document").select("doc_id", "domain", "path"), "doc_id"), ["entity_id"], [F.col("c").desc(), F.col("doc_id")], 50)
-    return placed.withColumnRenamed("rank", "pos")
+    return m.join(e, "entity_id").join(read(spark, d, "web_document").select("doc_id", "domain", "path"), "doc_id")
 
 
 @query(f"""
@@ -95,7 +94,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     SELECT entity_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY entity_id ORDER BY round(score, 6) DESC, pos) AS place FROM s""")
 def official_first(spark: SparkSession, d: str) -> DataFrame:
     score = F.round(ranking.official_score(F.col("pos"), F.col("domain"), F.col("path"), F.col("official_domain")), 6)
-    scored = candidates(spark, d).withColumn("score", score)
+    placed = candidates(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.col("c").desc(), "doc_id")))
+    scored = placed.withColumn("score", score)
     return scored.select("entity_id", "doc_id", "score", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.col("score").desc(), "pos")).alias("place"))
 
 

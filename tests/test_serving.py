@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomsearch.functions import replies, understanding
 from loomsearch.operators import analytics, ranking
+from loomsearch.plans import serving
 
 
 def col(spark, values, f, kind="string"):
@@ -88,3 +89,13 @@ def test_hypotheses(spark):
     rows = [("q", "Redis", 1.0), ("q", "redis ", 0.8), ("q", "cache", 0.8), ("q", "", 0.9), ("q", None, 0.9), ("q", "x" * 201, 0.9), ("q", "store", 0.7), ("q", "db", 0.7), ("q", "kv", 0.7)]
     got = analytics.hypotheses(spark.createDataFrame(rows, "k string, text string, weight double"), "k").orderBy("place").collect()
     assert [(r.text, r.weight) for r in got] == [("Redis", 1.0), ("cache", 0.8), ("db", 0.7), ("kv", 0.7)]
+
+
+def test_official_page_after_many_others(spark, tmp_path):
+    pages = [(f"{e}{n:02d}", "redis.io" if (e, n) == ("a", 59) else "other.example", "/") for e in "ab" for n in range(60)]
+    spark.createDataFrame(pages, "doc_id string, domain string, path string").write.parquet(f"{tmp_path}/web_document.parquet")
+    spark.createDataFrame([(i[0], i, 1 - int(i[1:]) / 100) for i, _, _ in pages], "entity_id string, doc_id string, confidence double").write.parquet(f"{tmp_path}/mentions.parquet")
+    spark.createDataFrame([("a", "redis.io"), ("b", "b.example"), ("c", None)], "entity_id string, official_domain string").write.parquet(f"{tmp_path}/entities.parquet")
+    assert [tuple(r) for r in serving.missing_official(spark, str(tmp_path)).collect()] == [("b", "b.example", 60)]
+    placed = serving.official_first(spark, str(tmp_path)).where("entity_id = 'a'").orderBy("place").collect()
+    assert [r.doc_id for r in placed] == ["a59", *(f"a{n:02d}" for n in range(59))]
