@@ -1,14 +1,16 @@
 """Near-duplicate pages by Golay-code fuzzy hashing.
 
-A page is cut into regions of a few words where a hash of the last word says so, so an edit,
-an insertion or another order touches few regions. A region's fingerprint has three segments
-of 23 bits, each decoded to the indices of the Golay codewords near it; its keys are the
-triple of nearest indices and the triples in which one segment takes another near codeword.
-Two regions that differ by some bits of one segment, the other two having none after
-decoding, share a key. A page's most common regions, up to a fifth of its words, are left
-out: pages half of whose shingles are shared have others in common. Pages that share a key
-are compared by a 256-bit sketch while they are joined, and what is left is verified on the
-exact shingle sets. Pages with the same series of words go through as one.
+A page gives windows of successive words that begin where a hash of two words says so, so an
+edit, an insertion or another order leaves most windows in place. A window's words are dealt
+by a hash to three segments, each a word of 23 bits in which every word sets one: a word
+that is put in, left out or changed flips at most two bits of the whole window. Each segment
+is decoded to the indices of the Golay codewords near it; two segments that differ in up to
+two bits always have one of these in common. A window's keys are the triple of nearest
+indices and the triples in which one segment takes another near codeword: if all errors fall
+into one segment, as they must in one of three by the pigeonhole principle when they are few,
+the windows share a key. Pages that share a key are compared by a 256-bit sketch while they
+are joined, and what is left is verified on the exact shingle sets. Pages with the same
+series of words go through as one. All windows of a page give all their keys.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsearch.llm import golay
@@ -27,17 +29,13 @@ from loomsearch.operators.components import components
 from loomsearch.plans.runtime import stage
 
 SHINGLE = 3
-#: A region ends at one word in six on average, and has three words at least.
-REGION_WORDS, REGION_LEAST = 6, 3
-#: The share of a page's words in its most common regions that gives no keys.
-COMMON_SHARE = 0.2
-#: A region on so few pages always gives keys: it costs little, whatever the collection's size.
-FEW_PAGES = 8
-#: Keys of a page: those of all its regions, and near ones of the least hash up to this many.
-KEYS = 36
+#: (words of a window, one in how many places a window begins, least and most words of the
+#: pages that have it). A page of twice another's length has some length of window in common with it.
+WINDOWS = ((44, 14, 88, None), (22, 10, 30, 180), (11, 4, SHINGLE, 64))
+SEGMENTS, BITS = 3, 23
 #: Bits of 256 in which the sketches of a pair agree at least; 0.5 of shingles in common
-#: gives 187 on average with a deviation of 7, unrelated pages give 128.
-SKETCH_AGREE = 164
+#: gives 187 on average with a deviation of 7, so one pair in 300,000 falls below; unrelated pages give 128.
+SKETCH_AGREE = 155
 
 _words = re.compile(r"[^\W_]+")
 _cache: dict[str, tuple[int, int]] = {}
@@ -71,6 +69,11 @@ def _hashes(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+def digest(ws: list[str]) -> bytes:
+    """What pages with the same series of words have in common."""
+    return xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass"))
+
+
 def shingles(exact: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes of all series of three successive words."""
     if len(exact) < SHINGLE:
@@ -90,52 +93,44 @@ def sketch(sh: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-def regions(loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a page's regions: the first two segments, and the third with the number of words."""
+def windows(loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a page's windows: two segments in one long, and the third with the window's kind."""
     n = len(loose)
-    ends = np.flatnonzero(mix(loose * np.uint64(3)) % np.uint64(REGION_WORDS) == 0) + 1
-    starts = [0]
-    for s in ends.tolist():
-        if s - starts[-1] >= REGION_LEAST and s < n:
-            starts.append(s)
-    at = np.array(starts)
-    lens = np.diff(np.append(at, n))
-    before = np.concatenate([loose[:1], loose[:-1]])
-    before[at] = np.uint64(0)
-    votes = _votes(mix(loose), 2).astype(np.int16) + _votes(mix(loose + before * np.uint64(5)), 2)
-    fp = (np.add.reduceat(votes, at, axis=0) > lens[:, None])[:, :69]
-    place = np.int64(1) << np.arange(23, dtype=np.int64)
-    s1, s2, s3 = (fp[:, k : k + 23] @ place for k in (0, 23, 46))
-    return s1 << 23 | s2, s3 << 40 | lens
-
-
-def region_keys(pair: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the nearest codewords of each region, and all its other keys."""
-    near = [golay.near_codewords(x).astype(np.int64) for x in (pair >> 23, pair & 0x7FFFFF, third)]
-    first = [x[:, 0] for x in near]
-    other = []
-    for i in range(3):
-        for k in range(1, 6):
-            c = [near[i][:, k] if j == i else first[j] for j in range(3)]
-            other.append(c[0] << 24 | c[1] << 12 | c[2])
-    return first[0] << 24 | first[1] << 12 | first[2], np.stack(other, axis=1)
-
-
-def choose_keys(rows: list[dict]) -> np.ndarray:
-    """Keys of one page from its regions, each with the number of pages that have it."""
-    pair = np.array([r["pair"] for r in rows], dtype=np.int64)
-    rest = np.array([r["rest"] for r in rows], dtype=np.int64)
-    lens = rest & 0xFFFFFFFFFF
-    pages = np.array([r["pages"] for r in rows])
-    # Ties go by a hash of the region, so similar pages leave out the same ones.
-    order = np.lexsort((mix(pair.astype(np.uint64)), -pages))
-    rare = order[(np.cumsum(lens[order]) > COMMON_SHARE * lens.sum()) | (pages[order] <= FEW_PAGES)]
-    first, other = region_keys(pair[rare], rest[rare] >> 40)
-    own, near = np.unique(first), np.setdiff1d(other, first)
-    spare = KEYS - len(own)
-    if 0 < spare < len(near):
-        near = near[np.argsort(mix(near.astype(np.uint64)))[:spare]]
-    return np.concatenate([own, near]) if spare > 0 else own
+    starts = mix(mix(loose[:-1]) + loose[1:])
+    place = mix(loose * np.uint64(7) + np.uint64(11))
+    segment = (place % np.uint64(SEGMENTS)).astype(np.int8)
+    bit = np.int64(1) << ((place >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)
+    pairs, thirds = [], []
+    for kind, (width, every, least, most) in enumerate(WINDOWS):
+        if n < least or (most and n > most):
+            continue
+        width = min(width, n)
+        at = np.flatnonzero(starts % np.uint64(every) == 0)
+        if not len(at):
+            at = np.array([int(np.argmin(starts))])
+        # One window is the page's last words, for all that would go beyond its end.
+        at = np.unique(np.minimum(at, n - width))
+        inside = at[:, None] + np.arange(width)
+        s = [np.bitwise_or.reduce(np.where(segment[inside] == k, bit[inside], 0), axis=1) for k in range(SEGMENTS)]
+        pairs.append(s[0] << BITS | s[1])
+        thirds.append(s[2] << 2 | kind)
+    return np.concatenate(pairs), np.concatenate(thirds)
+
+
+def window_keys(pair: np.ndarray, third: np.ndarray, near: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of the window) of all keys; without ``near`` only those of nearest codewords."""
+    kind = (third & 3) << 36
+    each = [golay.near_codewords(x).astype(np.int64) for x in (pair >> BITS, pair & ((1 << BITS) - 1), third >> 2)]
+    first = [x[:, 0] for x in each]
+    window = np.arange(len(pair))
+    keys, of = [kind | first[0] << 24 | first[1] << 12 | first[2]], [window]
+    for i in range(SEGMENTS if near else 0):
+        for k in range(1, each[i].shape[1]):
+            other = each[i][:, k] != first[i]
+            c = [each[i][:, k] if j == i else first[j] for j in range(SEGMENTS)]
+            keys.append((kind | c[0] << 24 | c[1] << 12 | c[2])[other])
+            of.append(window[other])
+    return np.concatenate(keys), np.concatenate(of)
 
 
 def _pages(docs: DataFrame, id_col: str, title_col: str, body_col: str) -> DataFrame:
@@ -144,14 +139,13 @@ def _pages(docs: DataFrame, id_col: str, title_col: str, body_col: str) -> DataF
 
 
 def fingerprints(pages: DataFrame) -> DataFrame:
-    """(id, same, size, s0..s3, regions) of each page with three words or more."""
+    """(id, same, size, s0..s3, pair, third) of each page with three words or more."""
     id_type = pages.schema["id"].dataType.simpleString()
-    region = pa.struct([("pair", pa.int64()), ("rest", pa.int64())])
-    names = ["id", "same", "size", "s0", "s1", "s2", "s3", "regions"]
+    names = ["id", "same", "size", "s0", "s1", "s2", "s3", "pair", "third"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, same, size, sketches, regs = [], [], [], [], []
+            ids, same, size, sketches, found = [], [], [], [], []
             for i, title, body in zip(*(c.to_pylist() for c in b.columns)):
                 ws = words(title, body)
                 if len(ws) < SHINGLE:
@@ -159,99 +153,126 @@ def fingerprints(pages: DataFrame) -> DataFrame:
                 exact, loose = _hashes(ws)
                 sh = shingles(exact)
                 ids.append(i)
-                same.append(xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass")))
+                same.append(digest(ws))
                 size.append(len(sh))
                 sketches.append(sketch(sh))
-                regs.append(regions(loose))
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([r[k] for r in regs]) if regs else [], pa.int64()) for k in range(2)], fields=list(region))
-            offsets = pa.array(np.cumsum([0, *(len(r[0]) for r in regs)]), pa.int32())
+                found.append(windows(loose))
+            offsets = pa.array(np.cumsum([0, *(len(w[0]) for w in found)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([w[k] for w in found]) if found else [], pa.int64())) for k in range(2)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, b.schema.field(0).type), pa.array(same, pa.binary()), pa.array(size, pa.int32()),
-                 *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(4)), pa.ListArray.from_arrays(offsets, flat)], names,
+                 *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(4)), *lists], names,
             )
 
-    return pages.mapInArrow(run, f"id {id_type}, same binary, size int, s0 long, s1 long, s2 long, s3 long, regions array<struct<pair:long,rest:long>>")
+    return pages.mapInArrow(run, f"id {id_type}, same binary, size int, s0 long, s1 long, s2 long, s3 long, pair array<long>, third array<long>")
 
 
-def keyed(reps: DataFrame) -> DataFrame:
-    """(key, n): the Golay keys of each page, its most common regions left out."""
-    rows = reps.select("n", F.explode("regions").alias("r")).select("n", "r.*")
-    counts = rows.groupBy("pair").agg(F.count("*").alias("pages")).where("pages > 1")
-    rated = rows.join(counts, "pair", "left").groupBy("n").agg(F.collect_list(F.struct("pair", "rest", F.coalesce("pages", F.lit(1)).alias("pages"))).alias("rows"))
+def keyed(reps: DataFrame, near: bool = True) -> DataFrame:
+    """(key, n): the Golay keys of all windows of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [choose_keys(r) for r in b.column(1).to_pylist()]
-            pages = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(pages, pa.int64())], ["key", "n"])
+            pages = np.repeat(b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy()))
+            keys, of = window_keys(*(b.column(k).flatten().to_numpy() for k in (1, 2)), near)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages[of], pa.int64())], ["key", "n"])
 
-    return rated.mapInArrow(run, "key long, n long")
+    return reps.select("n", "pair", "third").mapInArrow(run, "key long, n long")
 
 
-def shingle_sets(pages: DataFrame) -> DataFrame:
-    """(id, shingles): the exact shingle set of each page."""
-    id_type = pages.schema["id"].dataType.simpleString()
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(n, shingles): the exact shingle set of each page (n, same, title, body) that still has the words of ``same``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(_hashes(words(t, x))[0]).view(np.int64) for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            rows, sets = [], []
+            for n, same, title, body in zip(*(c.to_pylist() for c in b.columns)):
+                ws = words(title, body)
+                if digest(ws) == same:
+                    rows.append(n)
+                    sets.append(shingles(_hashes(ws)[0]).view(np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))], ["n", "shingles"])
 
-    return pages.mapInArrow(run, f"id {id_type}, shingles array<long>")
+    return texts.mapInArrow(run, "n long, shingles array<long>")
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body", similarity: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b, similarity) of pages, one for all with the same words, and
-    members (id, rep) of each such class.
+SKETCH = ("size", "s0", "s1", "s2", "s3")
 
-    Pages with a null id, a null or empty body, or fewer than three words have no shingles
-    and belong to no class; of repeated rows of one id the pairs are those of the id. No
-    number of candidates or partners is capped.
-    """
-    pages = _pages(docs, id_col, title_col, body_col)
-    prints = stage(fingerprints(pages).withColumn("n", F.monotonically_increasing_id()))
-    # Row numbers of the written table stand for pages until the pairs are verified.
-    reps_of = prints.groupBy("same").agg(F.min(F.struct("id", "n")).alias("rep"))
-    members = prints.select("id", "same").join(reps_of, "same").select("id", F.col("rep.id").alias("rep"))
-    reps = prints.join(reps_of.select(F.col("rep.n").alias("n")), "n", "left_semi")
-    keys = stage(keyed(reps))
-    shared = keys.groupBy("key").agg(F.count("*").alias("pages")).where("pages > 1").select("key")
-    sides = stage(keys.join(shared, "key", "left_semi").join(prints.select("n", "size", "s0", "s1", "s2", "s3"), "n"))
-    a, b = sides.alias("a"), sides.alias("b")
+
+def _alike(similarity: float) -> Column:
+    """Rows ``a`` and ``b`` of a join may be similar, by size and sketch."""
     differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(4)), F.lit(0))
-    near = (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (256 - differ >= SKETCH_AGREE)
-    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.n") < F.col("b.n")) & near).select(F.col("a.n").alias("x"), F.col("b.n").alias("y")).distinct()
-    names = prints.select("n", "id")
-    x, y = (names.select(F.col("n").alias(k), F.col("id").alias(v)) for k, v in (("x", "a"), ("y", "b")))
-    candidates = stage(found.join(x, "x").join(y, "y").select("a", "b"))
-    needed = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-    sets = stage(shingle_sets(pages.join(needed, "id", "left_semi")))
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    common = F.size(F.array_intersect("sa", "sb"))
-    verified = candidates.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    pairs = verified.select("a", "b", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("similarity"), "common", "sizes")
-    return pairs.where(F.col("common") >= F.lit(similarity) * (F.col("sizes") - F.col("common"))).drop("common", "sizes"), members
-
-
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body", similarity: float = 0.5) -> DataFrame:
-    """(doc_id_a, doc_id_b): every pair of rows of at least that similarity, smaller id first."""
-    pairs, members = similar_classes(docs, id_col, title_col, body_col, similarity)
-    members = stage(members)
-    x, y = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    across = pairs.select("a", "b").join(x, "a").join(y, "b").select("x", "y")
-    copies = x.join(y.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+    return (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (256 - differ >= SKETCH_AGREE)
+
+
+class Candidates:
+    """Pages as distinct series of words (row numbers), with those of their keys that others have."""
+
+    def __init__(self, docs: DataFrame, id_col: str, title_col: str, body_col: str, similarity: float, near: bool = True) -> None:
+        self.similarity = similarity
+        self.pages = _pages(docs, id_col, title_col, body_col)
+        self.prints = stage(fingerprints(self.pages).withColumn("n", F.monotonically_increasing_id()))
+        # Row numbers of the written table stand for pages until the pairs are verified.
+        reps_of = self.prints.groupBy("same").agg(F.min(F.struct("id", "n")).alias("rep"))
+        self.members = stage(self.prints.select("id", "same").join(reps_of, "same").select("id", F.col("rep.n").alias("rep")))
+        self.names = reps_of.select("rep.n", "rep.id", "same")
+        keys = keyed(self.prints.join(self.names.select("n"), "n", "left_semi"), near)
+        shared = keys.groupBy("key").agg(F.count("*").alias("pages")).where("pages > 1").select("key")
+        self.sides = stage(keys.join(shared, "key", "left_semi").join(self.prints.select("n", *SKETCH), "n"))
+
+    def pairs(self, sides: DataFrame, extra: Column | None = None) -> DataFrame:
+        """(x, y), x < y: pairs of row numbers that share a key and may be similar."""
+        a, b = sides.alias("a"), sides.alias("b")
+        on = (F.col("a.key") == F.col("b.key")) & (F.col("a.n") < F.col("b.n")) & _alike(self.similarity)
+        return a.join(b, on if extra is None else on & extra).select(F.col("a.n").alias("x"), F.col("b.n").alias("y")).distinct()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(x, y, similarity) of the pairs whose exact similarity is high enough."""
+        pairs = stage(pairs)
+        needed = pairs.select(F.col("x").alias("n")).union(pairs.select("y")).distinct()
+        texts = self.pages.join(self.names.join(needed, "n", "left_semi"), "id").select("n", "same", "title", "body")
+        sets = stage(shingle_sets(texts))
+        left, right = (sets.select(F.col("n").alias(k), F.col("shingles").alias(f"s{k}")) for k in "xy")
+        sizes = F.size("sx") + F.size("sy")
+        found = pairs.join(left, "x").join(right, "y").select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("common"), sizes.alias("sizes"))
+        found = found.where(F.col("common") >= F.lit(self.similarity) * (F.col("sizes") - F.col("common")))
+        return found.select("x", "y", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("similarity")).distinct()
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body", similarity: float = 0.5, near: bool = True) -> DataFrame:
+    """(doc_id_a, doc_id_b): every pair of rows of at least that similarity, smaller id first.
+
+    Rows with a null id, a null or empty body, or fewer than three words have no shingles
+    and are in no pair; of repeated rows of one id the pairs are those of the id. Neither
+    windows, keys, candidates nor partners are capped. ``near=False`` leaves the near
+    codewords out, to measure what they add.
+    """
+    c = Candidates(docs, id_col, title_col, body_col, similarity, near)
+    found = c.verified(c.pairs(c.sides))
+    x, y = (c.members.select(F.col("id").alias(k), F.col("rep").alias(k + "_rep")) for k in "xy")
+    across = found.select(F.col("x").alias("x_rep"), F.col("y").alias("y_rep")).join(x, "x_rep").join(y, "y_rep").select("x", "y")
+    copies = x.join(y, F.col("x_rep") == F.col("y_rep")).where("x < y").select("x", "y")
     return across.union(copies).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).where("doc_id_a <> doc_id_b").distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body", similarity: float = 0.5) -> DataFrame:
-    """(id_col, group_id, links): one row per page that has shingles, with the least id of its
-    group and the number of other classes it is similar to; copies of a page share a row's values."""
-    pairs, members = similar_classes(docs, id_col, title_col, body_col, similarity)
-    pairs = stage(pairs.select("a", "b"))
-    group = components(pairs, "a", "b").withColumnRenamed("node", "rep")
-    links = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).groupBy("rep").agg(F.count("*").alias("n"))
-    return (
-        members.join(group, "rep", "left").join(links, "rep", "left")
-        .select(F.col("id").alias(id_col), F.coalesce("component", "rep").alias("group_id"), F.coalesce("n", F.lit(0)).alias("links"))
-    )
+    """(id_col, group_id): one row per page that has shingles, with the least id of its group.
+
+    Groups are those of the pairs of ``similar_pairs``, but pairs within a group are not
+    listed: first each page is compared with the least page of each of its keys; then only
+    pages of one key that are still in different groups are compared with one another, and
+    keys all of whose pages are in one group are left alone. So no link between groups is
+    lost, and many near-copies of one page cost a comparison each.
+    """
+    c = Candidates(docs, id_col, title_col, body_col, similarity)
+    leader = c.sides.groupBy("key").agg(F.min(F.struct("n", *SKETCH)).alias("b"))
+    star = c.sides.alias("a").join(leader, "key").where((F.col("a.n") > F.col("b.n")) & _alike(similarity))
+    links = stage(c.verified(star.select(F.col("b.n").alias("x"), F.col("a.n").alias("y")).distinct()).select("x", "y"))
+    group = stage(components(links, "x", "y").select(F.col("node").alias("n"), F.col("component").alias("g")))
+    sides = stage(c.sides.join(group, "n", "left").withColumn("g", F.coalesce("g", "n")))
+    mixed = sides.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
+    rest = c.verified(c.pairs(sides.join(mixed, "key", "left_semi"), F.col("a.g") != F.col("b.g"))).select("x", "y")
+    group = components(stage(links.union(rest)), "x", "y").withColumnRenamed("node", "rep")
+    ids = stage(c.members.join(group, "rep", "left").select("id", F.coalesce("component", "rep").alias("g")))
+    least = ids.groupBy("g").agg(F.min("id").alias("group_id"))
+    return ids.join(least, "g").select(F.col("id").alias(id_col), "group_id").distinct()
