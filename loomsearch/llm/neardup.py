@@ -5,11 +5,12 @@ edit, an insertion or another order leaves most windows in place. A window's wor
 by a hash to three segments, each a word of 23 bits in which every word sets one: a word
 that is put in, left out or changed flips at most two bits of the whole window. Each segment
 is decoded to the indices of the Golay codewords near it; two segments that differ in up to
-two bits always have one of these in common. A window's keys are the triple of nearest
-indices and the triples in which one segment takes another near codeword: if all errors fall
-into one segment, as they must in one of three by the pigeonhole principle when they are few,
-the windows share a key. Pages that share a key are compared by a 256-bit sketch while they
-are joined, and what is left is verified on the exact shingle sets. Pages with the same
+two bits always have one of these in common. By the pigeonhole principle few errors leave
+segments without any: for each segment in turn a window's keys are its first two words, the
+nearest indices of the two other segments and one of the near indices of this one. Parts of
+keys that no other page has are dropped before near indices are made. Pages that share a key
+are compared by a 256-bit sketch while they are joined, and what is left is verified on the
+exact shingle sets. Pages with the same
 series of words go through as one. All windows of a page give all their keys.
 """
 
@@ -31,12 +32,13 @@ from loomsearch.plans.runtime import stage
 SHINGLE = 3
 #: (words of a window, one in how many places a window begins, least and most words of the
 #: pages that have it). A page of twice another's length has some length of window in common with it.
-WINDOWS = ((44, 14, 88, None), (22, 10, 30, 180), (11, 4, SHINGLE, 64))
+WINDOWS = ((40, 12, 80, None), (20, 8, 30, 170), (10, 4, SHINGLE, 64))
 SEGMENTS, BITS = 3, 23
 #: Bits of 256 in which the sketches of a pair agree at least; 0.5 of shingles in common
 #: gives 187 on average with a deviation of 7, so one pair in 300,000 falls below; unrelated pages give 128.
 SKETCH_AGREE = 155
 
+SKETCH = ("size", "s0", "s1", "s2", "s3")
 _words = re.compile(r"[^\W_]+")
 _cache: dict[str, tuple[int, int]] = {}
 
@@ -94,7 +96,7 @@ def sketch(sh: np.ndarray) -> list[int]:
 
 
 def windows(loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a page's windows: two segments in one long, and the third with the window's kind."""
+    """Of a page's windows: two segments in one long, and the third with a hash of kind and first words."""
     n = len(loose)
     starts = mix(mix(loose[:-1]) + loose[1:])
     place = mix(loose * np.uint64(7) + np.uint64(11))
@@ -113,23 +115,34 @@ def windows(loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = at[:, None] + np.arange(width)
         s = [np.bitwise_or.reduce(np.where(segment[inside] == k, bit[inside], 0), axis=1) for k in range(SEGMENTS)]
         pairs.append(s[0] << BITS | s[1])
-        thirds.append(s[2] << 2 | kind)
+        first = mix(starts[at] + np.uint64(kind)) >> np.uint64(BITS + 1)
+        thirds.append(first.astype(np.int64) << BITS | s[2])
     return np.concatenate(pairs), np.concatenate(thirds)
 
 
-def window_keys(pair: np.ndarray, third: np.ndarray, near: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(key, number of the window) of all keys; without ``near`` only those of nearest codewords."""
-    kind = (third & 3) << 36
-    each = [golay.near_codewords(x).astype(np.int64) for x in (pair >> BITS, pair & ((1 << BITS) - 1), third >> 2)]
-    first = [x[:, 0] for x in each]
-    window = np.arange(len(pair))
-    keys, of = [kind | first[0] << 24 | first[1] << 12 | first[2]], [window]
-    for i in range(SEGMENTS if near else 0):
-        for k in range(1, each[i].shape[1]):
-            other = each[i][:, k] != first[i]
-            c = [each[i][:, k] if j == i else first[j] for j in range(SEGMENTS)]
-            keys.append((kind | c[0] << 24 | c[1] << 12 | c[2])[other])
-            of.append(window[other])
+def window_parts(pair: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(part, word), each of shape (segments, windows): what a window's keys have in common where
+    the errors are in one segment, and that segment."""
+    low = (1 << BITS) - 1
+    words = [pair >> BITS, pair & low, third & low]
+    index = [golay.nearest_codeword(w).astype(np.uint64) for w in words]
+    first = mix((third >> BITS).astype(np.uint64))
+    parts = []
+    for i in range(SEGMENTS):
+        x, y = (index[j] for j in range(SEGMENTS) if j != i)
+        parts.append(mix(first + (x << np.uint64(24) | y << np.uint64(12) | np.uint64(i))).view(np.int64))
+    return np.stack(parts), np.stack(words)
+
+
+def near_keys(part: np.ndarray, word: np.ndarray, near: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of each part with each near index of its word, or with the nearest one only."""
+    each = golay.near_codewords(word).astype(np.uint64)
+    rows = np.arange(len(part))
+    keys, of = [], []
+    for k in range(each.shape[1] if near else 1):
+        own = (each[:, k] != each[:, 0]) | (k == 0)
+        keys.append(mix(part.view(np.uint64) + each[:, k]).view(np.int64)[own])
+        of.append(rows[own])
     return np.concatenate(keys), np.concatenate(of)
 
 
@@ -167,16 +180,28 @@ def fingerprints(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, f"id {id_type}, same binary, size int, s0 long, s1 long, s2 long, s3 long, pair array<long>, third array<long>")
 
 
-def keyed(reps: DataFrame, near: bool = True) -> DataFrame:
-    """(key, n): the Golay keys of all windows of each page."""
+def parted(reps: DataFrame) -> DataFrame:
+    """(part, n, word) of all windows of each page, for each segment that may hold the errors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pages = np.repeat(b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy()))
-            keys, of = window_keys(*(b.column(k).flatten().to_numpy() for k in (1, 2)), near)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages[of], pa.int64())], ["key", "n"])
+            part, word = window_parts(*(b.column(k).flatten().to_numpy() for k in (1, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(part.ravel(), pa.int64()), pa.array(np.tile(pages, SEGMENTS), pa.int64()), pa.array(word.ravel(), pa.int32())], ["part", "n", "word"])
+
+    return reps.select("n", "pair", "third").mapInArrow(run, "part long, n long, word int")
+
+
+def keyed(parts: DataFrame, near: bool = True) -> DataFrame:
+    """(key, n, size, s0..s3): the Golay keys of parts with their pages' sketches."""
+    names = ["key", "n", *SKETCH]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, of = near_keys(b.column(0).to_numpy(), b.column(1).to_numpy(), near)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(pa.array(of)) for k in range(2, 8))], names)
 
-    return reps.select("n", "pair", "third").mapInArrow(run, "key long, n long")
+    return parts.select("part", "word", "n", *SKETCH).mapInArrow(run, "key long, n long, size int, s0 long, s1 long, s2 long, s3 long")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -196,9 +221,6 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "n long, shingles array<long>")
 
 
-SKETCH = ("size", "s0", "s1", "s2", "s3")
-
-
 def _alike(similarity: float) -> Column:
     """Rows ``a`` and ``b`` of a join may be similar, by size and sketch."""
     differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(4)), F.lit(0))
@@ -216,9 +238,9 @@ class Candidates:
         reps_of = self.prints.groupBy("same").agg(F.min(F.struct("id", "n")).alias("rep"))
         self.members = stage(self.prints.select("id", "same").join(reps_of, "same").select("id", F.col("rep.n").alias("rep")))
         self.names = reps_of.select("rep.n", "rep.id", "same")
-        keys = keyed(self.prints.join(self.names.select("n"), "n", "left_semi"), near)
-        shared = keys.groupBy("key").agg(F.count("*").alias("pages")).where("pages > 1").select("key")
-        self.sides = stage(keys.join(shared, "key", "left_semi").join(self.prints.select("n", *SKETCH), "n"))
+        parts = parted(self.prints.join(self.names.select("n"), "n", "left_semi"))
+        shared = parts.groupBy("part").agg(F.count("*").alias("pages")).where("pages > 1").select("part")
+        self.sides = keyed(stage(parts.join(shared, "part", "left_semi").join(self.prints.select("n", *SKETCH), "n")), near)
 
     def pairs(self, sides: DataFrame, extra: Column | None = None) -> DataFrame:
         """(x, y), x < y: pairs of row numbers that share a key and may be similar."""
