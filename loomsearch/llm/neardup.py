@@ -9,7 +9,7 @@ two bits always have one of these in common. By the pigeonhole principle few err
 segments without any: for each segment in turn a window's keys are its first two words, the
 nearest indices of the two other segments and one of the near indices of this one. Parts of
 keys that no other page has are dropped before near indices are made. Pages that share a key
-are compared by a 256-bit sketch while they are joined, and what is left is verified on the
+are compared by a 128-bit sketch while they are joined, and what is left is verified on the
 exact shingle sets. Pages with the same
 series of words go through as one. All windows of a page give all their keys.
 """
@@ -34,11 +34,10 @@ SHINGLE = 3
 #: pages that have it). A page of twice another's length has some length of window in common with it.
 WINDOWS = ((40, 12, 80, None), (20, 8, 30, 170), (10, 4, SHINGLE, 64))
 SEGMENTS, BITS = 3, 23
-#: Bits of 256 in which the sketches of a pair agree at least; 0.5 of shingles in common
-#: gives 187 on average with a deviation of 7, so one pair in 300,000 falls below; unrelated pages give 128.
-SKETCH_AGREE = 155
-
-SKETCH = ("size", "s0", "s1", "s2", "s3")
+#: Bits of 128 in which the sketches of a pair agree at least; 0.5 of shingles in common
+#: gives 93 on average with a deviation of 5, so one such pair in 20,000 falls below; unrelated pages give 64.
+SKETCH_AGREE = 74
+SKETCH = ("size", "s0", "s1")
 _words = re.compile(r"[^\W_]+")
 _cache: dict[str, tuple[int, int]] = {}
 
@@ -90,8 +89,8 @@ def _votes(h: np.ndarray, longs: int) -> np.ndarray:
 
 
 def sketch(sh: np.ndarray) -> list[int]:
-    """256-bit similarity sketch of a shingle set, as four signed longs."""
-    bits = _votes(sh, 4).sum(axis=0, dtype=np.int32) * 2 > len(sh)
+    """128-bit similarity sketch of a shingle set, as two signed longs."""
+    bits = _votes(sh, 2).sum(axis=0, dtype=np.int32) * 2 > len(sh)
     return np.packbits(bits).view(np.int64).tolist()
 
 
@@ -152,9 +151,9 @@ def _pages(docs: DataFrame, id_col: str, title_col: str, body_col: str) -> DataF
 
 
 def fingerprints(pages: DataFrame) -> DataFrame:
-    """(id, same, size, s0..s3, pair, third) of each page with three words or more."""
+    """(id, same, size, s0, s1, pair, third) of each page with three words or more."""
     id_type = pages.schema["id"].dataType.simpleString()
-    names = ["id", "same", "size", "s0", "s1", "s2", "s3", "pair", "third"]
+    names = ["id", "same", *SKETCH, "pair", "third"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,10 +173,10 @@ def fingerprints(pages: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([w[k] for w in found]) if found else [], pa.int64())) for k in range(2)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, b.schema.field(0).type), pa.array(same, pa.binary()), pa.array(size, pa.int32()),
-                 *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(4)), *lists], names,
+                 *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(2)), *lists], names,
             )
 
-    return pages.mapInArrow(run, f"id {id_type}, same binary, size int, s0 long, s1 long, s2 long, s3 long, pair array<long>, third array<long>")
+    return pages.mapInArrow(run, f"id {id_type}, same binary, size int, s0 long, s1 long, pair array<long>, third array<long>")
 
 
 def parted(reps: DataFrame) -> DataFrame:
@@ -193,15 +192,15 @@ def parted(reps: DataFrame) -> DataFrame:
 
 
 def keyed(parts: DataFrame, near: bool = True) -> DataFrame:
-    """(key, n, size, s0..s3): the Golay keys of parts with their pages' sketches."""
+    """(key, n, size, s0, s1): the Golay keys of parts with their pages' sketches."""
     names = ["key", "n", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, of = near_keys(b.column(0).to_numpy(), b.column(1).to_numpy(), near)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(pa.array(of)) for k in range(2, 8))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(pa.array(of)) for k in range(2, 6))], names)
 
-    return parts.select("part", "word", "n", *SKETCH).mapInArrow(run, "key long, n long, size int, s0 long, s1 long, s2 long, s3 long")
+    return parts.select("part", "word", "n", *SKETCH).mapInArrow(run, "key long, n long, size int, s0 long, s1 long")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -223,8 +222,8 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 def _alike(similarity: float) -> Column:
     """Rows ``a`` and ``b`` of a join may be similar, by size and sketch."""
-    differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(4)), F.lit(0))
-    return (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (256 - differ >= SKETCH_AGREE)
+    differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(2)), F.lit(0))
+    return (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (128 - differ >= SKETCH_AGREE)
 
 
 class Candidates:
@@ -240,7 +239,7 @@ class Candidates:
         self.names = reps_of.select("rep.n", "rep.id", "same")
         parts = parted(self.prints.join(self.names.select("n"), "n", "left_semi"))
         shared = parts.groupBy("part").agg(F.count("*").alias("pages")).where("pages > 1").select("part")
-        self.sides = keyed(stage(parts.join(shared, "part", "left_semi").join(self.prints.select("n", *SKETCH), "n")), near)
+        self.sides = stage(keyed(parts.join(shared, "part", "left_semi").join(self.prints.select("n", *SKETCH), "n"), near))
 
     def pairs(self, sides: DataFrame, extra: Column | None = None) -> DataFrame:
         """(x, y), x < y: pairs of row numbers that share a key and may be similar."""
