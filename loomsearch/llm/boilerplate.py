@@ -1,18 +1,20 @@
 """Main content of pages by wrapper induction over pages of one host.
 
 A page is a tree: the page, its lines with a shape for a tag, their words. Pages of a host
-are put into groups of bounded size and each is aligned with others of its group by simple
-tree matching: lines of equal shape match by the longest common series of their words, pages
-by the heaviest ordered matching of their lines. Copies and near-copies of a page enter once,
-so that only different articles are aligned. A line that is the same in enough of all the
-group's different pages is constant and becomes template; a line of running text that is
-in no other page is a varying slot and becomes content. The words of both, counted over all pages, tell
-template from content also where a host has few pages or a template's slots are filled
-differently: each line gets the log-odds of its words, in a hashed table of fixed size.
-
-A line is article if it is the page's headline or one of its headings, or if it is running
-text or a list item whose words are content. Anything else, such as menus, bylines, tags and
-lists of links, is furniture.
+are put into groups of bounded size, copies and near-copies enter once, and a group's
+template is induced: lines of one shape whose words match in order form a node, nodes stand in
+the order of their places in the pages, and each page is aligned with this sequence by simple
+tree matching (the heaviest ordered matching). A node to which enough of the group's different
+pages are aligned is constant and becomes template; every other line is a varying slot. A
+page's own lines are then told by its host's template: lines of a constant node are cut,
+running text and list items in varying slots are article unless they plainly consist of
+words of other hosts' templates.
+
+Where a host has too few different pages for that, and for short sentences in varying slots
+(prompts and notes that a page has by itself), the words decide: those of all templates' constant
+nodes and of all varying paragraphs are counted in a hashed table of fixed size, and each
+line gets the log-odds of its words. The page's headline and its headings are article; menus,
+bylines, tags and lists of links in varying slots are neither running text nor list items.
 """
 
 from __future__ import annotations
@@ -28,12 +30,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host that are aligned with one another, and with how many of these each is.
-GROUP, PARTNERS = 48, 3
+from loomsearch.plans.runtime import stage
+
+#: Pages of a host that are aligned with one another.
+GROUP = 48
 #: Parts into which a host's pages are spread while they learn their host's number of groups.
 SPREAD = 64
-#: A line is constant if this many other pages of its group have it, and this share of the group.
-CONSTANT, CONSTANT_SHARE = 2, 0.25
+#: A node is constant if this many different pages of its group have it, and this share of the group.
+CONSTANT, CONSTANT_SHARE = 3, 0.25
+#: Different pages that a group needs for its template to decide.
+LEAST_PAGES = 4
+#: Share of the words of two lines, in order, that is common if they belong to one node; lines of
+#: more than ``LONG_WORDS`` words are compared by their words without the order.
+SAME_NODE, LONG_WORDS = 0.8, 200
+#: A varying slot is filled by other hosts' template words if its log-odds are not above this.
+VARYING_LEAST = -1.5
 #: Pages are near-copies if this share of their word pairs is common, the rare ones of a group weighing most.
 NEAR_COPY = 0.4
 #: Words and word pairs are counted in this many hashed cells.
@@ -70,31 +81,67 @@ def common_series(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def tree_match(a: list[tuple], b: list[tuple]) -> list[tuple[int, int, float]]:
-    """Simple tree matching of two pages' lines (shape, words, word set): pairs (i, j, likeness).
-
-    The weight of two lines of one shape is one and their longest common series of words;
-    lines with less than half of the words in common do not match.
-    """
-    weight = []
-    for i, (sa, wa, xa) in enumerate(a):
-        for j, (sb, wb, xb) in enumerate(b):
-            if sa != sb or not xa or 2 * len(xa) < len(xb) or 2 * len(xb) < len(xa):
+class Nodes:
+    """Lines of pages as nodes: a node's first line stands for it, later ones join the likest."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.first: list[tuple[list[str], Counter]] = []
+        self.having: dict[tuple[str, str], list[int]] = {}
+
+    def find(self, shape: str, words: list[str], add: bool = False) -> int:
+        """Number of the line's node, -1 if it is like none; ``add`` makes it one of its own then."""
+        key = (shape, *words)
+        if key in self.known:
+            return self.known[key]
+        bag = Counter(words)
+        # Lines with that much in common share one of any so many words.
+        some = sorted(bag, key=lambda w: (len(self.having.get((shape, w), ())), w))[: int((1 - SAME_NODE) * len(words)) + 1]
+        best, node = 0.0, -1
+        for n in sorted({n for w in some for n in self.having.get((shape, w), ())}):
+            other, its = self.first[n]
+            longest = max(len(words), len(other))
+            least = SAME_NODE * longest
+            if min(len(words), len(other)) < least or (bag & its).total() < least:
                 continue
-            if 2 * len(xa & xb) >= max(len(xa), len(xb)):
-                c = len(wa) if wa == wb else common_series(wa, wb)
-                if 2 * c >= max(len(wa), len(wb)):
-                    weight.append((i, j, 1 + c, c / max(len(wa), len(wb))))
-    # The heaviest chain of pairs that goes forward in both pages.
-    best: list[tuple[float, int]] = []
-    for n, (i, j, w, _) in enumerate(weight):
-        before = max(((best[m][0], m) for m in range(n) if weight[m][0] < i and weight[m][1] < j), default=(0.0, -1))
-        best.append((before[0] + w, before[1]))
-    out, n = [], max(range(len(best)), key=lambda m: best[m][0], default=-1)
+            c = (bag & its).total() if longest > LONG_WORDS else common_series(words, other)
+            if c >= least and c / longest > best:
+                best, node = c / longest, n
+        if node < 0 and add:
+            node = len(self.first)
+            self.first.append((words, bag))
+            for w in bag:
+                self.having.setdefault((shape, w), []).append(node)
+        if node >= 0:
+            self.known[key] = node
+        return node
+
+
+def tree_match(lines: list[tuple[int, float]], place: dict[int, int]) -> list[int]:
+    """Simple tree matching of a page's lines (node, weight) with a template: the lines of the heaviest
+    series whose nodes stand in the order of ``place``, each node once."""
+    size = len(place) + 1
+    tree: list[tuple[float, int]] = [(0.0, -1)] * (size + 1)
+    before = [-1] * len(lines)
+    for n, (node, weight) in enumerate(lines):
+        at = place.get(node, -1) + 1
+        if not at:
+            continue
+        best, k = (0.0, -1), at - 1
+        while k > 0:
+            best, k = max(best, tree[k]), k - (k & -k)
+        before[n] = best[1]
+        k, mine = at, (best[0] + weight, n)
+        while k <= size:
+            tree[k], k = max(tree[k], mine), k + (k & -k)
+    k, best = size, (0.0, -1)
+    while k > 0:
+        best, k = max(best, tree[k]), k - (k & -k)
+    out, n = [], best[1]
     while n >= 0:
-        out.append((weight[n][0], weight[n][1], weight[n][3]))
-        n = best[n][1]
-    return out
+        out.append(n)
+        n = before[n]
+    return out[::-1]
 
 
 def cells(words: list[str], cache: dict[str, int]) -> list[int]:
@@ -149,24 +196,37 @@ def different(pages: list[str]) -> list[str]:
     return [p for n, p in enumerate(pages) if find(n) == n]
 
 
-def group_labels(pages: list[str]) -> tuple[list[list[str]], list[list[str]]]:
-    """Word lists of template lines and of content lines in one group of a host's pages."""
-    trees = [[(s, ws, frozenset(ws)) for _, _, ws, s in page_lines(p)] for p in different(pages)]
-    having = Counter(x for tree in trees for x in {(s, *ws) for s, ws, _ in tree})
-    least = max(CONSTANT + 1, CONSTANT_SHARE * len(trees))
-    template, content = [], []
-    for k, tree in enumerate(trees):
-        others = [trees[(k + d) % len(trees)] for d in range(1, min(PARTNERS, len(trees) - 1) + 1)]
-        seen = [having[(s, *ws)] - 1 for s, ws, _ in tree]
-        for other in others:
-            for i, _, _ in tree_match(tree, other):
-                seen[i] += 1
-        for i, (s, ws, _) in enumerate(tree):
-            if having[(s, *ws)] >= least and ws:
-                template.append(ws)
-            elif s == "p" and not seen[i]:
-                content.append(ws)
-    return template, content
+def group_labels(pages: list[str]) -> tuple[list[str | None], list[list[str]], list[list[str]]]:
+    """Of one group of a host's pages: a letter for each non-empty line of each page, ``t`` for template and
+    ``v`` for a varying slot (None if the pages are too few), and words of constant and of varying lines."""
+    trees = [[(ws, s) for _, _, ws, s in page_lines(p) if ws] for p in different(pages)]
+    often = Counter(x for tree in trees for x in {(s, *ws) for ws, s in tree})
+    nodes = Nodes()
+    # What most pages have comes first, so that it stands for its node.
+    for s, *ws in sorted(often, key=lambda x: (-often[x], x)):
+        nodes.find(s, ws, add=True)
+    of = [[nodes.find(s, ws) for ws, s in tree] for tree in trees]
+    pages_of, at = Counter(n for own in of for n in set(own)), Counter()
+    for own in of:
+        seen: set[int] = set()
+        for k, n in enumerate(own):
+            if n not in seen:
+                seen.add(n)
+                at[n] += (k + 0.5) / len(own)
+    place = {n: k for k, n in enumerate(sorted((n for n in at if pages_of[n] > 1), key=lambda n: (at[n] / pages_of[n], n)))}
+    aligned: Counter = Counter()
+    for own, tree in zip(of, trees):
+        aligned.update({own[k] for k in tree_match([(n, 1.0 + len(ws)) for n, (ws, _) in zip(own, tree)], place)})
+    least = max(CONSTANT, CONSTANT_SHARE * len(trees))
+    template = [ws for own, tree in zip(of, trees) for n, (ws, _) in zip(own, tree) if aligned[n] >= least]
+    content = [ws for own, tree in zip(of, trees) for n, (ws, s) in zip(own, tree) if pages_of[n] == 1 and s == "p"]
+    if len(trees) < LEAST_PAGES:
+        return [None] * len(pages), template, content
+    labels = []
+    for p in pages:
+        found = (nodes.find(s, ws) if ws else -1 for _, _, ws, s in page_lines(p))
+        labels.append("".join("t" if n >= 0 and aligned[n] >= least else "v" for n in found))
+    return labels, template, content
 
 
 def is_headline(words: list[str], title: list[str]) -> bool:
@@ -192,14 +252,17 @@ def line_score(words: list[str], odds: np.ndarray, cache: dict[str, float]) -> f
     return total / (2 * len(words) - 1)
 
 
-def article_lines(title: str | None, body: str, headings: list[str] | None, odds: np.ndarray, cache: dict[str, float]) -> list[int]:
-    """Numbers of the lines that belong to the article."""
+def article_lines(title: str | None, body: str, headings: list[str] | None, labels: str | None, odds: np.ndarray, cache: dict[str, float]) -> list[int]:
+    """Numbers of the lines that belong to the article; ``labels`` are the letters of ``group_labels``."""
     lines = page_lines(body)
     heads = {tuple(line_words(h)) for h in headings or [] if h}
     top = line_words(title or "")
     score = [line_score(ws, odds, cache) for _, _, ws, _ in lines]
     main = []
-    for (_, line, ws, s), v in zip(lines, score):
+    for n, ((_, line, ws, s), v) in enumerate(zip(lines, score)):
+        if labels and (labels[n] == "t" or s in ("p", "li")):
+            main.append(labels[n] == "v" and bool(ws) and v > VARYING_LEAST)
+            continue
         # A full sentence may be about a template's subject; text that lost its end is still text.
         least = {"p": 0.0, "li": 0.0, "s": 0.0 if line.rstrip().endswith(".") else 1.0, "x": 1.0}[s]
         if s == "s" and len(ws) >= 8 and line.rstrip().endswith("."):
@@ -224,28 +287,43 @@ def article_lines(title: str | None, body: str, headings: list[str] | None, odds
     return sorted(set(out))
 
 
-def learn(pages: DataFrame) -> np.ndarray:
-    """Log-odds of content against template by hashed cell, counted over all groups of pages."""
+def grouped(pages: DataFrame) -> DataFrame:
+    """(domain, pages): groups of different bodies of one host."""
     hosts = pages.where(F.col("domain").isNotNull() & (F.length("body") > 0)).select("domain", "body").distinct().withColumn("h", F.xxhash64("body"))
     hosts = hosts.withColumn("part", F.pmod(F.shiftright("h", 32), F.lit(SPREAD)))
     groups = hosts.groupBy("domain").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("groups")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>")))
     # Without its own exchange the grouping would take over the join's, a whole host in one task.
-    placed = hosts.join(groups, ["domain", "part"]).select("domain", F.pmod("h", "groups").alias("group"), "body").repartition("domain", "group")
-    grouped = placed.groupBy("domain", "group").agg(F.collect_list("body").alias("pages"))
+    placed = hosts.join(groups, ["domain", "part"]).select("domain", F.pmod("h", "groups").alias("group"), "body", "h").repartition("domain", "group")
+    return placed.groupBy("domain", "group").agg(F.collect_list(F.struct("body", "h")).alias("pages")).select("domain", "pages")
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def induced(groups: DataFrame) -> DataFrame:
+    """(domain, h, labels, cell, template, content): labels of each page of a group by the hash of its body,
+    and in rows without a domain the counts of words by hashed cell."""
+    names = ["domain", "h", "labels", "cell", "template", "content"]
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         total = np.zeros((2, CELLS), dtype=np.int64)
         for b in batches:
-            for pages_of in b.column(0).to_pylist():
-                for side, lines in enumerate(group_labels(pages_of)):
-                    found = [c for ws in lines for c in cells(ws, cache)]
-                    np.add.at(total[side], np.array(found, dtype=np.int64), 1)
+            rows = []
+            for domain, pages in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                labels, *words = group_labels([p["body"] for p in pages])
+                rows += [(domain, p["h"], x) for p, x in zip(pages, labels) if x]
+                for side, lines in enumerate(words):
+                    np.add.at(total[side], np.array([c for ws in lines for c in cells(ws, cache)], dtype=np.int64), 1)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[n] for r in rows], kinds[n]) for n in range(3)), *(pa.nulls(len(rows), k) for k in kinds[3:])], names)
         at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0][at]), pa.array(total[1][at])], ["cell", "template", "content"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), k) for k in kinds[:3]), pa.array(at, pa.int32()), pa.array(total[0][at]), pa.array(total[1][at])], names)
 
+    return groups.mapInArrow(run, "domain string, h long, labels string, cell int, template long, content long")
+
+
+def learned(found: DataFrame) -> np.ndarray:
+    """Log-odds of content against template by hashed cell, counted over all groups of pages."""
     # One row a cell: bounded by CELLS, whatever the corpus.
-    rows = grouped.select("pages").mapInArrow(count, "cell int, template long, content long").groupBy("cell").agg(F.sum("template").alias("t"), F.sum("content").alias("c")).toPandas()
+    rows = found.where("cell is not null").groupBy("cell").agg(F.sum("template").alias("t"), F.sum("content").alias("c")).toPandas()
     t, c = np.zeros(CELLS), np.zeros(CELLS)
     t[rows["cell"]], c[rows["cell"]] = rows["t"], rows["c"]
     return log_odds(t, c)
@@ -269,22 +347,24 @@ def article(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     domain, which take no part in the alignment. Repeated rows give repeated results.
     """
     pages = docs.select(F.col(id_col).alias("id"), "title", "body", "headings", "chunks", "domain")
-    odds = docs.sparkSession.sparkContext.broadcast(learn(pages))
+    found = stage(induced(grouped(pages)))
+    odds = docs.sparkSession.sparkContext.broadcast(learned(found))
+    labels = found.where("labels is not null").select("domain", "h", "labels")
     id_type = pages.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for b in batches:
             rows = []
-            for i, title, body, headings, chunks in zip(*(c.to_pylist() for c in b.columns)):
-                own = article_lines(title, body, headings, odds.value, cache)
+            for i, title, body, headings, chunks, known in zip(*(c.to_pylist() for c in b.columns)):
+                own = article_lines(title, body, headings, known, odds.value, cache)
                 lines = body.split("\n")
                 texts = {lines[n - 1].strip() for n in own}
                 rows += [(i, "line", n) for n in own]
                 rows += [(i, "chunk", n) for n, c in enumerate(chunks or [], 1) if c and any(x.strip() in texts for x in c.split("\n"))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["id", "unit", "pos"])
 
-    usable = pages.where(F.length("body") > 0).select("id", "title", "body", "headings", "chunks")
+    usable = pages.where(F.length("body") > 0).withColumn("h", F.xxhash64("body")).join(labels, ["domain", "h"], "left").select("id", "title", "body", "headings", "chunks", "labels")
     return usable.mapInArrow(run, f"id {id_type}, unit string, pos int").withColumnRenamed("id", id_col)
 
 

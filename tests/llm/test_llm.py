@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 from itertools import combinations
 
@@ -251,13 +252,49 @@ def test_rounds_go_on_until_nothing_merges(spark):
 
 
 def test_tree_matching():
-    t = lambda *lines: [(boilerplate.shape(x, w := boilerplate.line_words(x)), w, frozenset(w)) for x in lines]
-    a, b = t("Home", "One two three four.", "Skip to content"), t("Home", "Skip to content", "One two three five.")
-    m = boilerplate.tree_match(a, b)
-    assert (0, 0, 1.0) in m and len(m) == 2 and boilerplate.tree_match([], a) == []
+    nodes = boilerplate.Nodes()
+    n = lambda line: nodes.find(boilerplate.shape(line, w := boilerplate.line_words(line)), w, add=True)
+    home, skip, text = n("Home"), n("Skip to content"), n("One two three four five six.")
+    assert n("One two three four five seven.") == text and n("One six five four three two.") not in (home, skip, text)
+    place = {home: 0, skip: 1, text: 2}
+    # The text weighs more than the link that stands on its wrong side.
+    assert boilerplate.tree_match([(home, 2.0), (text, 7.0), (skip, 4.0)], place) == [0, 1]
+    assert boilerplate.tree_match([], place) == [] and boilerplate.tree_match([(99, 1.0)], place) == []
     assert boilerplate.common_series(list("abcbdab"), list("bdcaba")) == 4
 
 
+def test_matching_is_the_heaviest_ordered_one():
+    rng = random.Random(12)
+    for _ in range(40):
+        place = {n: n for n in range(5)}
+        lines = [(rng.randrange(6), float(rng.randint(1, 5))) for _ in range(7)]
+        fits = (c for k in range(8) for c in combinations(range(7), k) if all(lines[x][0] in place for x in c) and all(lines[x][0] < lines[y][0] for x, y in zip(c, c[1:])))
+        best = max(sum(lines[x][1] for x in c) for c in fits)
+        assert sum(lines[x][1] for x in boilerplate.tree_match(lines, place)) == best
+
+
+def test_many_equal_lines_and_a_long_one():
+    began = time.time()
+    pages = ["\n".join([f"same line {k % 3} of many."] * 5000 + [f"word{k} " * 60000, f"own text {k}."]) for k in range(6)]
+    labels, _, _ = boilerplate.group_labels(pages)
+    assert time.time() - began < 30 and all(len(x) == 5002 for x in labels if x)
+
+
+def test_alignment_decides(spark):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("bcdfghklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    sent = lambda: (" ".join(rng.choice(vocab) for _ in range(14))).capitalize() + "."
+    about = sent()  # content words, but the same on every page of the host
+    host = [(f"a{n:02d}", "a.example", "", "\n".join(["Home | News", sent(), about, sent(), "Contact us"]), [], []) for n in range(12)]
+    got = {tuple(r)[::2] for r in boilerplate.article(spark.createDataFrame(host, WEB)).collect()}
+    assert got == {(r[0], k) for r in host for k in (2, 4)}
+    # By words alone the constant paragraph would be article, and a varying one of template words would not.
+    words, mixed = np.full(boilerplate.CELLS, 2.0), np.full(boilerplate.CELLS, -1.0)
+    lines = lambda labels, odds: boilerplate.article_lines("", host[0][3], [], labels, odds, {})
+    assert lines("tvtvt", words) == [2, 4] and lines(None, words) == [2, 3, 4]
+    assert lines("tvtvt", mixed) == [2, 4] and lines(None, mixed) == []
+
+
 def test_article(spark):
     rng = random.Random(7)
     vocab = ["".join(rng.choice("bcdfghklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
@@ -286,7 +323,8 @@ def test_copies_are_no_template(spark):
         mine = [*text[:3], f"{text[3]} Note {n}."] if n < 20 else [sent(vocab[300:]) for _ in range(4)]
         rows.append((f"d{n:02d}", "a.example", "", "\n".join([menu, *mine, foot]), [], []))
     assert len(boilerplate.different([r[3] for r in rows])) == 21
-    template, content = boilerplate.group_labels([r[3] for r in rows])
+    labels, template, content = boilerplate.group_labels([r[3] for r in rows])
+    assert set(labels) == {"tvvvvt"}
     assert boilerplate.line_words(foot) in template and not [t for t in text if boilerplate.line_words(t) in template]
     got = {tuple(r) for r in boilerplate.article(spark.createDataFrame(rows, WEB)).where("unit = 'line'").collect()}
     assert got == {(r[0], "line", k) for r in rows for k in (2, 3, 4, 5)}
