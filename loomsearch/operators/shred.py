@@ -14,7 +14,9 @@ A path is a list of steps: ``.key`` (an optional field), ``{`` (the value is an
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,16 +27,40 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
+@contextmanager
+def _deep():
+    """Lets records of any depth that the parser takes be walked; calls of Python functions use no machine stack."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(1_000_000)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def parse(text: str | None):
-    """(True, value) for strict JSON, else (False, None)."""
+    """(True, value) for strict JSON, else (False, None); numbers are the strings they are written as, marked by their type."""
     if not text:
         return False, None
     try:
-        return True, json.loads(text, parse_constant=_refuse)
+        return True, json.loads(text, parse_constant=_refuse, parse_int=Number, parse_float=Number)
     except (ValueError, RecursionError):
         return False, None
 
 
+class Number(str):
+    """A JSON number as written, so that none is too long or loses digits."""
+
+
+def printable(text: str) -> str:
+    """The text with surrogates that stand alone, which no table can hold, written as ``\\udXXX``."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "backslashreplace").decode()
+
+
 def _shape(values: list) -> dict:
     """What occurs at one path over all its values: fields of objects, elements, scalars."""
     out, objects = {}, [v for v in values if isinstance(v, dict)]
@@ -75,7 +101,7 @@ def shred(value, with_values: bool = True) -> list[tuple[list[str], list[int], l
         if "{" in shape:
             here = [*path, "{"]
             open_objects.append(len(here))
-            node["{"] = {k: plan(s, [*here, f".{k}"], open_objects) for k, s in shape["{"].items()}
+            node["{"] = {k: plan(s, [*here, f".{printable(k)}"], open_objects) for k, s in shape["{"].items()}
             own = [c for s in node["{"].values() for c in s["cols"]]
             if not own:
                 node["{only"] = column(here)
@@ -124,10 +150,11 @@ def shred(value, with_values: bool = True) -> list[tuple[list[str], list[int], l
             path, reps, defs, values, _ = columns[node["="]]
             reps.append(r)
             defs.append(d if scalar else d - 1 if d else -1)
-            values.append((v if isinstance(v, str) else json.dumps(v)) if with_values and scalar else None)
+            values.append((printable(v) if isinstance(v, str) else json.dumps(v)) if with_values and scalar else None)
 
     # A scalar at the outermost place is its own column at level 0; -1 marks its absence.
-    write(plan(_shape([value]), [], []), value, 0, 0, 0)
+    with _deep():
+        write(plan(_shape([value]), [], []), value, 0, 0, 0)
     return columns
 
 
@@ -169,8 +196,10 @@ def shred_levels(docs: DataFrame, id_col: str, json_col: str, with_values: bool
     """(id, path, reps, defs, values, owned): one row for each document and leaf path.
 
     Texts that are null, empty or not valid JSON as a whole give no rows (so do those nested
-    deeper than the interpreter's parser goes, some thousand levels); of a key that occurs
-    twice in one object the last value counts, as in the usual parsers.
+    deeper than the interpreter's parser goes, about ten thousand levels); of a key that
+    occurs twice in one object the last value counts, as in the usual parsers. Numbers keep
+    the digits they are written with, however many; a surrogate that stands alone in a key or
+    value is written as its escape.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(json_col).alias("json"))
     id_type = docs.schema["id"].dataType.simpleString()
@@ -248,3 +277,19 @@ def fields(levels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), *(pa.array([r[n] for r in rows], pa.string()) for n in range(1, 5))], names)
 
     return levels.select("id", "path", "reps", "defs", "values").mapInArrow(run, f"id {id_type}, table_path string, node_path string, field string, value string")
+
+
+def wide_table(cells: DataFrame, found: DataFrame, table_path: str, columns: list[str]) -> DataFrame:
+    """(id, node_path, parent_path, *columns): one flat table, a row for each object of ``table_path``.
+
+    ``cells`` are from ``fields`` and ``found`` from ``objects``. An object without a field has a null there, one
+    with none of the fields still has its row. The columns are named by the caller, as the
+    fields of a whole collection have no bound; a column called like a key keeps its name with
+    an underscore behind it. Children link by ``id`` and their ``parent_path``.
+    """
+    named = {c: f"{c}_" if c in ("id", "node_path", "parent_path") else c for c in columns}
+    mine = cells.where((F.col("table_path") == table_path) & F.col("field").isin(columns))
+    # One cell a field and object, so nothing is gathered; the same record given twice counts once.
+    rows = mine.groupBy("id", "node_path").agg(*(F.max(F.when(F.col("field") == c, F.col("value"))).alias(n) for c, n in named.items()))
+    keys = found.where(F.col("table_path") == table_path).select("id", "node_path", "parent_path").distinct()
+    return keys.join(rows, ["id", "node_path"], "left").select("id", "node_path", "parent_path", *(F.col(f"`{n}`") for n in named.values()))

@@ -150,3 +150,25 @@ def test_oracle(spark, duck, name):
     names = [x[0] for x in r.description]
     assert sorted(names) == cols
     assert got == sorted(json.dumps([norm(dict(zip(names, x))[c]) for c in cols], default=str) for x in r.fetchall())
+
+
+def test_records_that_hurt(spark):
+    deep = "[" * 2000 + '{"a": 1}' + "]" * 2000
+    nested = '{"a":' * 1500 + "{}" + "}" * 1500
+    digits = "7" * 5000
+    rows = [("s", '{"\\ud800": {"x": "\\udfff"}}'), ("d", deep), ("n", nested), ("i", '{"big": %s, "f": 1.50}' % digits), ("c", '{"a": 1,}'), ("e", ""), ("z", None), (None, "{}")]
+    df = spark.createDataFrame(rows, "doc_id string, jsonld string").withColumn("id", F.lit(1)).withColumn("path", F.lit("c"))
+    levels = shred.shred_levels(df, "doc_id", "jsonld", with_values=True)
+    got = [(r["id"], r["node_path"], r["parent_path"]) for r in shred.objects(levels).collect()]
+    assert {g for g in got if g[0] in ("s", None)} == {("s", "$", ""), ("s", "$/\\ud800", "$"), (None, "$", "")}
+    assert [g for g in got if g[0] == "d"] == [("d", "$" + "/0" * 2000, "")] and sum(g[0] == "n" for g in got) == 1501 and not [g for g in got if g[0] in ("c", "e", "z")]
+    cells = {(r["id"], r["field"]): r["value"] for r in shred.fields(levels).collect()}
+    assert cells["i", "big"] == digits and cells["i", "f"] == "1.50" and cells["s", "x"] == "\\udfff"
+
+
+def test_wide_table(spark):
+    rows = [("a", '{"offers": [{"price": 1, "id": "x"}, {"price": null, "seller": {"name": "s"}}, {}], "price": 9}'), ("b", '{"offers": []}'), ("a", '{"offers": [{"price": 1, "id": "x"}]}')]
+    levels = shred.shred_levels(spark.createDataFrame(rows, "doc_id string, jsonld string"), "doc_id", "jsonld", with_values=True)
+    wide = shred.wide_table(shred.fields(levels), shred.objects(levels), "$/offers/*", ["price", "id", "node"])
+    assert wide.columns == ["id", "node_path", "parent_path", "price", "id_", "node"]
+    assert {tuple(r) for r in wide.collect()} == {("a", "$/offers/0", "$", "1", "x", None), ("a", "$/offers/1", "$", "null", None, None), ("a", "$/offers/2", "$", None, None, None)}
