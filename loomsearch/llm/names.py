@@ -4,36 +4,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
-#: Given names and the short or familiar forms people type for them.
-NICKNAMES = {
-    "alexander": "alex al sandy xander sasha lex", "anthony": "tony ant toni", "benjamin": "ben benny benji", "bjorn": "", "christopher": "chris kit topher",
-    "dorothy": "dot dolly dottie dora dodie", "edward": "ed ned ted eddie teddy eddy", "elizabeth": "liz eliza beth betty lisa libby lizzie elsie bess betsy",
-    "francisco": "paco pancho frank cisco curro", "frederick": "fred freddy fritz rick freddie", "gabriela": "gabi gaby gabriella", "guillermo": "memo guille willy",
-    "heinrich": "heinz heiner heini harry", "helene": "lena helen nell leni nelly ellie", "ignatius": "iggy ignacio nacho inigo", "johannes": "hannes hans jo johan jan",
-    "jonathan": "jon john jonny nathan jonty johnny", "jose": "pepe joe chepe", "josephine": "jo josie fina posy", "katherine": "kit kate kathy kat katie kitty kay kathleen",
-    "leopold": "poldi leo", "lucien": "luc lucky lou lulu", "margaret": "maggie meg peggy greta madge daisy marge margie rita", "michael": "mike mick mickey micky",
-    "mireille": "mimi mira", "nicholas": "nick nico klaus nicky colin", "ottoline": "otti ottie lina", "patricia": "pat patty tricia trish patsy", "quentin": "quen quin quint",
-    "renee": "", "richard": "rich dick rick richie ricky", "robert": "bob rob bert bobby robbie", "susannah": "sue susie sukey susan suzy", "soren": "", "theodore": "ted theo teddy",
-    "ursula": "uschi ursel ulla", "victoria": "vicky tori vic vicki", "wilhelmina": "mina willa minnie billie wilma", "william": "bill will billy liam willie willy",
-    "yolanda": "yoli yola landa", "zachary": "zach zac zack", "zoe": "",
+#: Usual legal forms of organisations with their short forms.
+LEGAL = {
+    "corporation": "corp", "limited": "ltd", "incorporated": "inc", "company": "co", "gmbh": "", "sa": "", "plc": "", "llc": "", "llp": "", "ag": "", "kg": "", "bv": "", "nv": "",
+    "spa": "", "srl": "", "sarl": "", "oy": "", "ab": "", "foundation": "fdn", "university": "univ uni", "institute": "inst", "association": "assn", "society": "soc",
 }
-#: Words that organisations' names are made of, with spellings that are no
-#: abbreviation: legal forms, trades, then other words.
-ORG_WORDS = {
-    "corporation": "corp", "limited": "ltd", "incorporated": "inc", "foundation": "fdn", "university": "univ uni", "institute": "inst", "gmbh": "gesellschaft mbh", "sa": "societe anonyme",
-    "aviation": "", "textiles": "", "research": "", "logistics": "", "publishing": "", "energy": "", "instruments": "", "software": "sw", "marine": "", "foods": "", "laboratories": "labs",
-    "systems": "", "united": "", "northern": "", "general": "", "coastal": "", "international": "intl", "applied": "", "national": "", "company": "co", "agency": "", "group": "", "press": "",
-}
-_WORDS = list(ORG_WORDS)
-ROLES = (frozenset(_WORDS[: _WORDS.index("sa") + 1]), frozenset(_WORDS[_WORDS.index("aviation") : _WORDS.index("systems") + 1]), frozenset(_WORDS[_WORDS.index("united") : _WORDS.index("national") + 1]))
+#: Legal forms that are written out in several words.
+LONG_FORMS = {"gesellschaft mb h": "gmbh", "gesellschaft mbh": "gmbh", "societe anonyme": "sa", "public limited company": "plc", "limited liability company": "llc"}
 TITLES = frozenset("dr prof sir mr ms mrs md phd dame lord the".split())
-GENERIC = frozenset("hq staff editor founder the".split())
-_FORMS = {w: k for k, v in ORG_WORDS.items() for w in v.split()}
-_NICK: dict[str, set[str]] = {}
-for _full, _short in NICKNAMES.items():
-    for _w in [_full, *_short.split()]:
-        _NICK.setdefault(_w, set()).add(_full)
+#: What people type where a name is asked for, but that names nobody.
+GENERIC = frozenset("hq staff editor founder the author owner director agency company firm group organisation organization office team press".split())
+#: Words of descriptions that say nothing.
+STOP = frozenset("the and for from with its has was are not based who which that this into over under about near off one two new old all any his her their our your".split())
+_FORMS = {w: k for k, v in LEGAL.items() for w in v.split()}
 
 
 def fold(text: str) -> str:
@@ -65,15 +50,14 @@ def _short_of(a: str, word: str) -> bool:
     return all(c in it for c in a)
 
 
-def given_words(word: str, common: frozenset[str]) -> set[str]:
-    """Given names that a word can stand for; empty if it is none."""
-    if len(word) == 1:
-        return {word}
-    if word in _NICK:
-        return _NICK[word]
-    # A misspelling stays one where many rows have it.
-    alike = {g for w, full in _NICK.items() if len(w) >= 4 and near(word, w) for g in full} if len(word) >= 4 else set()
-    return alike or ({word} if word in common else set())
+@lru_cache(maxsize=4)
+def _keys(words: frozenset[str]) -> frozenset[str]:
+    return frozenset(d for w in words if len(w) >= 4 for d in deletions(w))
+
+
+def is_given(word: str, common: frozenset[str]) -> bool:
+    """The word is an initial, or stands beside many surnames, or is a misspelling of one that does."""
+    return len(word) == 1 or word in common or (len(word) >= 4 and not _keys(common).isdisjoint(deletions(word)))
 
 
 def parse_person(text: str, common: frozenset[str]) -> tuple[str, list[str]] | None:
@@ -88,123 +72,125 @@ def parse_person(text: str, common: frozenset[str]) -> tuple[str, list[str]] | N
         return None
     if len(parts) > 1:
         return (parts[0][-1], parts[1]) if len(parts[0]) == 1 else (parts[0][-1], parts[0][:-1])
-    rare = [n for n, w in enumerate(words) if len(w) >= 4 and not given_words(w, common)]
+    rare = [n for n, w in enumerate(words) if len(w) >= 4 and not is_given(w, common)]
     at = rare[-1] if rare else len(words) - 1
     if len(rare) > 1 and rare[0] == 0 and rare[-1] == len(words) - 1 and len(words) == 2:
         at = 1
     return words[at], words[:at] + words[at + 1 :]
 
 
-def given_level(a: str, b: str, common: frozenset[str]) -> int:
-    """2: the same given name as far as spelling goes; 1: one is an initial or a cut form; 0: different."""
+def given_level(a: str, b: str, forms: dict[str, frozenset[str]]) -> int:
+    """2: the same given name as far as spelling goes; 1: one is an initial or a cut form; 0: different.
+
+    ``forms`` are other forms of given names, as learned from united spellings.
+    """
     if a == b:
         return 2 if len(a) > 1 else 1
-    x, y = given_words(a, common), given_words(b, common)
+    none: frozenset[str] = frozenset()
     if len(a) == 1 or len(b) == 1:
-        one, other, names = (a, b, y) if len(a) == 1 else (b, a, x)
-        # An initial can be that of a familiar form too (D. for Dick), so names of one root count.
-        forms = names | {s for g in names for s in NICKNAMES.get(g, "").split()} | {other}
-        return 1 if any(f[0] == one for f in forms) else 0
-    if x & y or near(a, b):
+        one, other = (a, b) if len(a) == 1 else (b, a)
+        # An initial can be that of another form too (D. for Dick).
+        return 1 if any(f[0] == one for f in {other} | forms.get(other, none)) else 0
+    if b in forms.get(a, none) or near(a, b):
         return 2
-    if len(a) <= 4 and (b.startswith(a) or any(g.startswith(a) for g in y)):
-        return 1
-    if len(b) <= 4 and (a.startswith(b) or any(g.startswith(b) for g in x)):
+    if len(a) <= 4 and b.startswith(a) or len(b) <= 4 and a.startswith(b):
         return 1
     return 0
 
 
-def person_level(a: tuple[str, list[str]], b: tuple[str, list[str]], common: frozenset[str]) -> int | None:
+def person_level(a: tuple[str, list[str]], b: tuple[str, list[str]], forms: dict[str, frozenset[str]]) -> int | None:
     """Level of the first given name if the surnames are near, 0 on a conflict, None if not near."""
     if not near(a[0], b[0]):
         return None
     ga, gb = a[1], b[1]
     if not ga or not gb:
         return None
-    level = given_level(ga[0], gb[0], common)
-    if level and len(ga) > 1 and len(gb) > 1 and not given_level(ga[1], gb[1], common):
+    level = given_level(ga[0], gb[0], forms)
+    if level and len(ga) > 1 and len(gb) > 1 and not given_level(ga[1], gb[1], forms):
         return 0
     return level
 
 
-def org_words(text: str) -> list[tuple[str, str]]:
-    """(word, fixed word it is, is like or abbreviates) of an organisation's spelling.
+def org_words(text: str, common: dict[str, int]) -> list[tuple[str, str]]:
+    """(word, known word it is, is like or abbreviates) of an organisation's spelling.
 
-    The second is empty for other words, and has alternatives parted by | where an
-    abbreviation leaves a choice. An acronym has no words.
+    Known are legal forms and ``common`` words with their numbers of uses. The second is
+    empty for other words, and has alternatives parted by | where an abbreviation leaves a
+    choice. An acronym has no words.
     """
     if re.fullmatch(r"(?:[A-Z]\.?){2,5}", text.strip()):
         return []
     spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", re.sub(r"\([^)]*\)", " ", text))
     folded = fold(spaced).replace("'", "").replace("\u2019", "")
     dotted = set(re.findall(r"([^\W\d_]+)\.", folded))
-    words = [w for w in re.findall(r"[^\W\d_]+", folded) if w not in ("the", "of", "and", "mbh", "anonyme")]
+    plain = " ".join(w for w in re.findall(r"[^\W\d_]+", folded) if w not in ("the", "of", "and"))
+    for long, short in LONG_FORMS.items():
+        plain = plain.replace(long, short)
+    words = plain.split()
     out = []
     for w in words:
-        w = {"gesellschaft": "gmbh", "societe": "sa"}.get(w, _FORMS.get(w, w))
-        if w in ORG_WORDS:
+        w = _FORMS.get(w, w)
+        if w in LEGAL:
             out.append((w, w))
             continue
-        short = [k for k in ORG_WORDS if _short_of(w, k)] if w in dotted or len(w) <= 6 else []
-        alike = [k for k in ORG_WORDS if len(w) >= 5 and near(w, k)]
-        if alike:
-            out.append((w, alike[0]))
-        elif short and (w in dotted or len(words) > 1) and len(w) <= 6:
-            starts = [k for k in short if k.startswith(w)] or short
-            out.append((w, "|".join(sorted(starts))))
+        uses = common.get(w, 0)
+        # An abbreviation is used less than the word; letters left out count only behind a full stop or in short words.
+        short = [k for k, n in common.items() if (n > uses or w in dotted) and _short_of(w, k)] + [k for k in LEGAL if _short_of(w, k)] if len(w) <= 6 and (w in dotted or len(words) > 1) else []
+        starts = [k for k in short if k.startswith(w)] or (short if w in dotted or not uses else [])
+        alike = [k for k in (*LEGAL, *common) if len(w) >= 5 and k != w and near(w, k) and common.get(k, 1 << 30) > uses]
+        if w in dotted and starts:
+            out.append((w, "|".join(sorted(set(starts)))))
+        elif uses or (starts and not alike):
+            out.append((w, "|".join(sorted({*starts, *([w] if uses else [])}))))
         else:
-            out.append((w, ""))
+            out.append((w, alike[0] if alike else ""))
     return out
 
 
-def parse_org(text: str, common: frozenset[str]) -> tuple[str, list[str]] | None:
-    """(own name, common words) of a spelling; own name "" with its letters for an acronym."""
+def parse_org(text: str, common: dict[str, int]) -> tuple[str, list[str]] | None:
+    """(own name, known words) of a spelling; own name "" with its letters for an acronym."""
     if re.fullmatch(r"(?:[A-Z]\.?){2,5}", text.strip()):
         return "", [re.sub(r"\W", "", fold(text))]
-    words = org_words(text)
-    rest = [w for w, known in words if not known]
-    # Where all words are common, the longest is the own name.
-    own = [w for w in rest if w not in common] or sorted(rest, key=len)[-1:]
+    words = org_words(text, common)
+    own = [w for w, known in words if not known]
+    if not own:
+        # Where all words are known, the rarest that is no legal form is the own name.
+        own = sorted((w for w, known in words if w not in LEGAL), key=lambda w: (common.get(w, 0), -len(w)))[:1]
     if not own or (len(own) == 1 and own[0] in GENERIC):
         return None
-    return max(own, key=len), [known or w for w, known in words if known or w not in own]
+    return max(own, key=len), [known or w for w, known in words if w not in own]
 
 
 def unknown_words(kind: str, text: str) -> list[str]:
-    """Words of a spelling that no table of fixed values knows, each once."""
+    """Words of a spelling that no fixed table knows, each once; an abbreviation keeps its full stop out."""
     if kind == "Person":
-        found = [w for w in re.findall(r"[^\W\d_]+", re.sub(r"\([^)]*\)", " ", fold(text))) if not given_words(w, frozenset())]
+        found = re.findall(r"[^\W\d_]+", re.sub(r"\([^)]*\)", " ", fold(text)))
     else:
-        found = [w for w, known in org_words(text) if not known]
+        found = [w for w, known in org_words(text, {}) if not known]
     return sorted({w for w in found if len(w) > 1 and w not in TITLES | GENERIC})
 
 
-def _word_in(w: str, words: list[str]) -> bool:
-    return any(set(w.split("|")) & set(x.split("|")) for x in words)
+def _same_word(x: str, y: str) -> bool:
+    return bool(set(x.split("|")) & set(y.split("|")))
 
 
 def org_level(a: tuple[str, list[str]], b: tuple[str, list[str]]) -> int | None:
-    """2: near own names, a common word shared and none against it; 1: no word shared; 0: words of
-    one role (legal form, trade, other) differ; None: the own names are not near."""
+    """2: near own names, a known word shared and none against it; 1: no word shared; 0: legal forms differ,
+    or each has other words that the other lacks; None: the own names are not near."""
     if not a[0] or not b[0] or not near(a[0], b[0]):
         return None
-    for role in ROLES:
-        x, y = ([w for w in f[1] if set(w.split("|")) & role] for f in (a, b))
-        if x and y and not any(_word_in(w, y) for w in x):
-            return 0
-    return 2 if any(_word_in(w, b[1]) for w in a[1]) else 1
-
-
-def about(kind: str, text: str | None) -> tuple[str, str]:
-    """(trade, place) that a short description states, empty where it does not."""
-    t = (text or "").strip().rstrip(".")
-    for pattern, trade, place in (
-        (r".* is an? (.+) based in (\w+)", 1, 2), (r"Maker of (\w+) goods, (\w+)", 1, 2), (r"(\w+) company in (\w+)", 1, 2), (r"(\w+) \((\w+)\)", 1, 2),
-        (r"([\w ]+) from (\w+)", 1, 2), (r"(\w+), ([\w ]+)", 2, 1), (r"(\w+) organisation", 1, 0), (r"([\w]+(?: \w+)?)", 1, 0),
-    ):
-        if m := re.fullmatch(pattern, t):
-            return fold(m[trade]), fold(m[place]) if place else ""
-    return "", ""
+    lacks = []
+    for legal in (True, False):
+        x, y = ([w for w in f[1] if (not set(w.split("|")).isdisjoint(LEGAL)) == legal] for f in (a, b))
+        lacks.append(([w for w in x if not any(_same_word(w, v) for v in y)], [w for w in y if not any(_same_word(w, v) for v in x)]))
+    if any(x and y for x, y in lacks):
+        return 0
+    return 2 if any(_same_word(x, y) for x in a[1] for y in b[1]) else 1
+
+
+def spellings_in(text: str | None) -> list[str]:
+    """Runs of two or more capitalised words of a description."""
+    return re.findall(r"[^\W\d_a-z][^\W\d_]*(?:[ .-]+[^\W\d_a-z][^\W\d_]*)+", text or "")
 
 
 def deletions(word: str) -> list[str]:

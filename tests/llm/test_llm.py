@@ -190,33 +190,64 @@ def test_copies_of_one_page(spark):
 # Names
 
 
+ENTITY = "entity_id string, name string, node_type string, aliases array<string>, description string, official_domain string"
+
+
 def test_spellings():
-    c = frozenset()
-    p = lambda s: names.parse_person(s, c)
-    assert p("Smaplebubru, Theodore") == ("smaplebubru", ["theodore"]) and p("Tibokroto Yoli") == ("tibokroto", ["yoli"]) and p("Dr.") is None and p("the founder") is None
-    assert names.person_level(p("Sir Kit Ludidato"), p("Ludidato, Christopher"), c) == 2
-    assert names.person_level(p("D. Drarigatri"), p("Richard Drarigatri"), c) == 1
-    assert names.person_level(p("Ottoline Ludidato"), p("Christopher Ludidato"), c) == 0
-    o = lambda s: names.parse_org(s, c)
+    common, forms = frozenset(["quimora", "dulf"]), {"quimora": frozenset(["dulf"]), "dulf": frozenset(["quimora"])}
+    p = lambda s: names.parse_person(s, common)
+    assert p("Smaplebubru, Quimora") == ("smaplebubru", ["quimora"]) and p("Tibokroto Quimroa") == ("tibokroto", ["quimroa"]) and p("Dr.") is None and p("the founder") is None
+    assert names.person_level(p("Sir Dulf Ludidato"), p("Ludidato, Quimora"), forms) == 2
+    assert names.person_level(p("D. Drarigatri"), p("Quimora Drarigatri"), forms) == 1
+    assert names.person_level(p("Ottoline Ludidato"), p("Quimora Ludidato"), forms) == 0
+    words = {"textiles": 40, "foods": 40, "coastal": 30, "software": 30, "fds": 14}
+    o = lambda s: names.parse_org(s, words)
     assert names.org_level(o("Nirulgulval Textiles Gesellschaft mbH"), o("Nirulgulval Textiles GmbH")) == 2
     assert names.org_level(o("Stukastako Software University"), o("Stukastako Textiles Ltd")) == 0
-    assert names.org_level(o("Torulufen, Fds. Coastal"), o("Torulufen Coastal Foods Foundation")) == 2 and o("HQ") is None or True
-    assert all(names.near(a, b) == (set(names.deletions(a)) & set(names.deletions(b)) != set()) or True for a in ("abcd",) for b in ("abdc", "abc", "xbcd"))
+    assert names.org_level(o("Torulufen, Fds. Coastal"), o("Torulufen Coastal Foods Foundation")) == 2
+    assert o("HQ")[0] == "" and o("the agency") is None and o("") is None and p("") is None
+
+
+@given(st.text("abcd", min_size=4, max_size=7), st.text("abcd", min_size=4, max_size=7))
+def test_near_words_share_a_block(a, b):
+    if names.near(a, b):
+        assert set(names.deletions(a)) & set(names.deletions(b))
 
 
 def test_resolution(spark):
     rows = [
-        ("e1", "Margaret Lostilanve", "Person", [], "Surgeon", None), ("e2", "Lostilanve, Maggie", "Person", None, "", None), ("e3", "M. Lostilanwe", "Person", ["staff"], None, None),
-        ("e4", "Ursula Lostilanve", "Person", [], "Baker", None), ("e5", "MEL", "Organization", ["Melemmikro Energy Ltd"], None, None), ("e6", "Melemmikro En. Limited", "Organization", [], None, None),
-        ("e7", "Melemmikro Software GmbH", "Organization", [], None, None), ("e8", None, "Person", None, None, None), ("e9", "", "Organization", ["HQ"], None, None), (None, "Margaret Lostilanve", "Person", None, None, None),
+        ("e1", "Margaret Lostilanve", "Person", [], "Surgeon", None), ("e2", "Lostilanve, Maragret", "Person", None, "", None), ("e3", "M. Lostilanwe", "Person", ["staff"], None, None),
+        ("e4", "Ursula Lostilanve", "Person", [], "Baker", None), ("e5", "MEL", "Organization", ["Melemmikro Ltd"], None, None), ("e6", "Melemmikro Limited", "Organization", [], None, None),
+        ("e7", "Melemmikro GmbH", "Organization", [], None, None), ("e8", None, "Person", None, None, None), ("e9", "", "Organization", ["HQ"], None, None), (None, "Margaret Lostilanve", "Person", None, None, None),
         ("p1", "Margaret Lostilanve", "Place", [], None, None), ("e1", "Margaret Lostilanve", "Person", [], "Surgeon", None),
     ]
-    df = spark.createDataFrame(rows, "entity_id string, name string, node_type string, aliases array<string>, description string, official_domain string").withColumn("pid", F.lit(1)).withColumn("kind", F.lit(1))
+    df = spark.createDataFrame(rows, ENTITY).withColumn("pid", F.lit(1)).withColumn("kind", F.lit(1))
     got = {tuple(r) for r in entities.linked_pairs(df).collect()}
     assert got == {("e1", "e2"), ("e1", "e3"), ("e2", "e3"), ("e5", "e6")}
     assert entities.resolve(df.limit(0)).count() == 0
 
 
+def test_forms_of_names_are_learned(spark):
+    # Invented given names, forms, trades and phrases: none of them is in any table of the code.
+    rng = random.Random(21)
+    syllable = lambda: rng.choice("bdfgklmnprstvz") + rng.choice("aeiou")
+    word = lambda n: "".join(syllable() for _ in range(n)).capitalize()
+    given = {word(4): (word(3), word(2)) for _ in range(6)}
+    trades, towns = [word(4).lower() for _ in range(5)], [word(3) for _ in range(12)]
+    rows, want = [], set()
+    for n in range(150):
+        full, sur = rng.choice(list(given)), word(5)
+        one, two = given[full]
+        trade, town = rng.choice(trades), rng.choice(towns)
+        mine = [(f"{full} {sur}", f"Lives as {trade} at {town}"), (f"{one} {sur}", rng.choice([None, f"At {town}, known as {trade}"])), (f"{sur}, {two}", None)]
+        rows += [(f"{n:03d}{k}", name, "Person", [f"{full} {sur}"] if rng.random() < 0.4 and k else [], text, None) for k, (name, text) in enumerate(mine)]
+        want |= set(combinations([f"{n:03d}{k}" for k in range(3)], 2))
+    got = {tuple(r) for r in entities.linked_pairs(spark.createDataFrame(rows, ENTITY)).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
+    kept = [r for r in rows if not r[3]]  # without any second spelling only sameness of all else can teach
+    assert {tuple(r) for r in entities.linked_pairs(spark.createDataFrame(kept, ENTITY)).collect()} <= want
+
+
 def test_initials_answer_to_the_full_profile(spark):
     schema = "entity_id string, node_type string, name string, aliases array<string>, description string, official_domain string"
     rows = [("a", "Elizabeth Vinvatrodor"), ("b", "E. Vinvatsodor"), ("c", "E. Vynvatrodor"), ("d", "Dorothy Kaltrunugo"), ("e", "Daniel Kaltrunugo"), ("f", "D. Kaltrunugo")]
@@ -236,7 +267,7 @@ def test_common_abbreviations_and_copies(spark):
     assert got == {(f"{n:02d}a", f"{n:02d}b") for n in range(60)} | set(combinations([i for i, _ in rows if i[0] == "z"], 2))
     blue = spark.createDataFrame([("Organization", f"{o} Bluewhale", None) for o in own], "kind string, name string, aliases array<string>")
     common = entities.common_words(blue)["Organization"]
-    assert common == {"bluewhale"} and names.parse_org("Bluewhale Ltd", common) == ("bluewhale", ["limited"])
+    assert set(common) == {"bluewhale"} and names.parse_org("Bluewhale Ltd", common) == ("bluewhale", ["limited"])
 
 
 def test_rounds_go_on_until_nothing_merges(spark):
