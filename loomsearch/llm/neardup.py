@@ -133,16 +133,14 @@ def window_parts(pair: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.stack(parts), np.stack(words)
 
 
-def near_keys(part: np.ndarray, word: np.ndarray, near: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of each part with each near index of its word, or with the nearest one only."""
-    each = golay.near_codewords(word).astype(np.uint64)
-    rows = np.arange(len(part))
-    keys, of = [], []
-    for k in range(each.shape[1] if near else 1):
-        own = (each[:, k] != each[:, 0]) | (k == 0)
-        keys.append(mix(part.view(np.uint64) + each[:, k]).view(np.int64)[own])
-        of.append(rows[own])
-    return np.concatenate(keys), np.concatenate(of)
+def near_lists(word: np.ndarray, near: bool = True) -> pa.ListArray:
+    """The different near indices of each word, or its nearest one only."""
+    each = golay.near_codewords(word).astype(np.int16)
+    own = each != each[:, :1]
+    own[:, 0] = True
+    if not near:
+        own[:, 1:] = False
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own.sum(axis=1))]), pa.int32()), pa.array(each[own], pa.int16()))
 
 
 def _pages(docs: DataFrame, id_col: str, title_col: str, body_col: str) -> DataFrame:
@@ -192,15 +190,14 @@ def parted(reps: DataFrame) -> DataFrame:
 
 
 def keyed(parts: DataFrame, near: bool = True) -> DataFrame:
-    """(key, n, size, s0, s1): the Golay keys of parts with their pages' sketches."""
-    names = ["key", "n", *SKETCH]
+    """(part, near, n, size, s0, s1): parts with the near indices that complete their keys, and their pages' sketches."""
+    names = ["part", "near", "n", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, of = near_keys(b.column(0).to_numpy(), b.column(1).to_numpy(), near)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b.column(k).take(pa.array(of)) for k in range(2, 6))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), near_lists(b.column(1).to_numpy(), near), *b.columns[2:]], names)
 
-    return parts.select("part", "word", "n", *SKETCH).mapInArrow(run, "key long, n long, size int, s0 long, s1 long")
+    return parts.select("part", "word", "n", *SKETCH).mapInArrow(run, "part long, near array<short>, n long, size int, s0 long, s1 long")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -221,9 +218,9 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 
 def _alike(similarity: float) -> Column:
-    """Rows ``a`` and ``b`` of a join may be similar, by size and sketch."""
+    """Rows ``a`` and ``b`` of one part have a key in common and may be similar, by size and sketch."""
     differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(2)), F.lit(0))
-    return (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (128 - differ >= SKETCH_AGREE)
+    return F.arrays_overlap("a.near", "b.near") & (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (128 - differ >= SKETCH_AGREE)
 
 
 class Candidates:
@@ -237,14 +234,14 @@ class Candidates:
         reps_of = self.prints.groupBy("same").agg(F.min(F.struct("id", "n")).alias("rep"))
         self.members = stage(self.prints.select("id", "same").join(reps_of, "same").select("id", F.col("rep.n").alias("rep")))
         self.names = reps_of.select("rep.n", "rep.id", "same")
-        parts = parted(self.prints.join(self.names.select("n"), "n", "left_semi"))
+        parts = parted(stage(self.prints.select("n", "pair", "third").join(self.names.select("n"), "n", "left_semi")))
         shared = parts.groupBy("part").agg(F.count("*").alias("pages")).where("pages > 1").select("part")
         self.sides = stage(keyed(parts.join(shared, "part", "left_semi").join(self.prints.select("n", *SKETCH), "n"), near))
 
     def pairs(self, sides: DataFrame, extra: Column | None = None) -> DataFrame:
         """(x, y), x < y: pairs of row numbers that share a key and may be similar."""
         a, b = sides.alias("a"), sides.alias("b")
-        on = (F.col("a.key") == F.col("b.key")) & (F.col("a.n") < F.col("b.n")) & _alike(self.similarity)
+        on = (F.col("a.part") == F.col("b.part")) & (F.col("a.n") < F.col("b.n")) & _alike(self.similarity)
         return a.join(b, on if extra is None else on & extra).select(F.col("a.n").alias("x"), F.col("b.n").alias("y")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -280,19 +277,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", title_col: str = "ti
     """(id_col, group_id): one row per page that has shingles, with the least id of its group.
 
     Groups are those of the pairs of ``similar_pairs``, but pairs within a group are not
-    listed: first each page is compared with the least page of each of its keys; then only
-    pages of one key that are still in different groups are compared with one another, and
-    keys all of whose pages are in one group are left alone. So no link between groups is
+    listed: first each page is compared with the least page of each of its parts of keys; then
+    only pages of one part that are still in different groups are compared with one another, and
+    parts all of whose pages are in one group are left alone. So no link between groups is
     lost, and many near-copies of one page cost a comparison each.
     """
     c = Candidates(docs, id_col, title_col, body_col, similarity)
-    leader = c.sides.groupBy("key").agg(F.min(F.struct("n", *SKETCH)).alias("b"))
-    star = c.sides.alias("a").join(leader, "key").where((F.col("a.n") > F.col("b.n")) & _alike(similarity))
+    leader = c.sides.groupBy("part").agg(F.min(F.struct("n", "near", *SKETCH)).alias("b"))
+    star = c.sides.alias("a").join(leader, "part").where((F.col("a.n") > F.col("b.n")) & _alike(similarity))
     links = stage(c.verified(star.select(F.col("b.n").alias("x"), F.col("a.n").alias("y")).distinct()).select("x", "y"))
     group = stage(components(links, "x", "y").select(F.col("node").alias("n"), F.col("component").alias("g")))
     sides = stage(c.sides.join(group, "n", "left").withColumn("g", F.coalesce("g", "n")))
-    mixed = sides.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
-    rest = c.verified(c.pairs(sides.join(mixed, "key", "left_semi"), F.col("a.g") != F.col("b.g"))).select("x", "y")
+    mixed = sides.groupBy("part").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("part")
+    rest = c.verified(c.pairs(sides.join(mixed, "part", "left_semi"), F.col("a.g") != F.col("b.g"))).select("x", "y")
     group = components(stage(links.union(rest)), "x", "y").withColumnRenamed("node", "rep")
     ids = stage(c.members.join(group, "rep", "left").select("id", F.coalesce("component", "rep").alias("g")))
     least = ids.groupBy("g").agg(F.min("id").alias("group_id"))
