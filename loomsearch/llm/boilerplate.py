@@ -86,7 +86,7 @@ class Nodes:
 
     def __init__(self) -> None:
         self.known: dict[tuple, int] = {}
-        self.first: list[tuple[list[str], Counter]] = []
+        self.first: list[tuple[list[str], frozenset[str]]] = []
         self.having: dict[tuple[str, str], list[int]] = {}
 
     def find(self, shape: str, words: list[str], add: bool = False) -> int:
@@ -94,23 +94,24 @@ class Nodes:
         key = (shape, *words)
         if key in self.known:
             return self.known[key]
-        bag = Counter(words)
+        kinds = frozenset(words)
         # Lines with that much in common share one of any so many words.
-        some = sorted(bag, key=lambda w: (len(self.having.get((shape, w), ())), w))[: int((1 - SAME_NODE) * len(words)) + 1]
+        some = sorted(kinds, key=lambda w: (len(self.having.get((shape, w), ())), w))[: int((1 - SAME_NODE) * len(words)) + 1]
         best, node = 0.0, -1
         for n in sorted({n for w in some for n in self.having.get((shape, w), ())}):
             other, its = self.first[n]
             longest = max(len(words), len(other))
             least = SAME_NODE * longest
-            if min(len(words), len(other)) < least or (bag & its).total() < least:
+            # Words that a line has twice are the most that its words' kinds leave out.
+            if min(len(words), len(other)) < least or len(kinds & its) + len(words) - len(kinds) < least:
                 continue
-            c = (bag & its).total() if longest > LONG_WORDS else common_series(words, other)
+            c = (Counter(words) & Counter(other)).total() if longest > LONG_WORDS else common_series(words, other)
             if c >= least and c / longest > best:
                 best, node = c / longest, n
         if node < 0 and add:
             node = len(self.first)
-            self.first.append((words, bag))
-            for w in bag:
+            self.first.append((words, kinds))
+            for w in kinds:
                 self.having.setdefault((shape, w), []).append(node)
         if node >= 0:
             self.known[key] = node
@@ -167,12 +168,12 @@ def page_lines(body: str) -> list[tuple[int, str, list[str], str]]:
     return out
 
 
-def different(pages: list[str]) -> list[str]:
+def different(pages: list[str], words: dict[str, list[str]] | None = None) -> list[str]:
     """One page of each set of copies and near-copies, in an order that is not that of their words."""
     pages = sorted(set(pages), key=lambda p: (xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")), p))
     sets = []
     for p in pages:
-        ws = line_words(p)
+        ws = words[p] if words else line_words(p)
         sets.append(frozenset(zip(ws, ws[1:])))
     # What all pages of a host have weighs next to nothing, so a large template makes no near-copies.
     df = Counter(x for s in sets for x in s)
@@ -189,7 +190,7 @@ def different(pages: list[str]) -> list[str]:
     for j in range(len(pages)):
         for i in range(j):
             if find(i) != find(j) and NEAR_COPY * max(total[i], total[j]) <= min(total[i], total[j]):
-                both = sum(weight[x] for x in sets[i] & sets[j])
+                both = sum(map(weight.__getitem__, sets[i] & sets[j]))
                 if both and both >= NEAR_COPY * (total[i] + total[j] - both):
                     x, y = find(i), find(j)
                     root[max(x, y)] = min(x, y)
@@ -199,7 +200,8 @@ def different(pages: list[str]) -> list[str]:
 def group_labels(pages: list[str]) -> tuple[list[str | None], list[list[str]], list[list[str]]]:
     """Of one group of a host's pages: a letter for each non-empty line of each page, ``t`` for template and
     ``v`` for a varying slot (None if the pages are too few), and words of constant and of varying lines."""
-    trees = [[(ws, s) for _, _, ws, s in page_lines(p) if ws] for p in different(pages)]
+    lines = {p: [(ws, s) for _, _, ws, s in page_lines(p)] for p in set(pages)}
+    trees = [[(ws, s) for ws, s in lines[p] if ws] for p in different(pages, {p: [w for ws, _ in x for w in ws] for p, x in lines.items()})]
     often = Counter(x for tree in trees for x in {(s, *ws) for ws, s in tree})
     nodes = Nodes()
     # What most pages have comes first, so that it stands for its node.
@@ -224,7 +226,7 @@ def group_labels(pages: list[str]) -> tuple[list[str | None], list[list[str]], l
         return [None] * len(pages), template, content
     labels = []
     for p in pages:
-        found = (nodes.find(s, ws) if ws else -1 for _, _, ws, s in page_lines(p))
+        found = (nodes.find(s, ws) if ws else -1 for ws, s in lines[p])
         labels.append("".join("t" if n >= 0 and aligned[n] >= least else "v" for n in found))
     return labels, template, content
 
