@@ -9,8 +9,8 @@ two bits always have one of these in common. By the pigeonhole principle few err
 segments without any: for each segment in turn a window's keys are its first two words, the
 nearest indices of the two other segments and one of the near indices of this one. Parts of
 keys that no other page has are dropped before near indices are made. Pages that share a key
-are compared by a 128-bit sketch while they are joined, and what is left is verified on the
-exact shingle sets. Pages with the same
+are compared by half of a 256-bit sketch while they are joined and by all of it then, and
+what is left is verified on the exact shingle sets. Pages with the same
 series of words go through as one. All windows of a page give all their keys.
 """
 
@@ -34,9 +34,11 @@ SHINGLE = 3
 #: pages that have it). A page of twice another's length has some length of window in common with it.
 WINDOWS = ((40, 12, 80, None), (20, 8, 30, 170), (10, 4, SHINGLE, 64))
 SEGMENTS, BITS = 3, 23
-#: Bits of 128 in which the sketches of a pair agree at least; 0.5 of shingles in common
-#: gives 93 on average with a deviation of 5, so one such pair in 20,000 falls below; unrelated pages give 64.
-SKETCH_AGREE = 74
+#: Bits of 256 in which the sketches of a pair agree at least; 0.5 of shingles in common gives 187 on
+#: average with a deviation of 7, so one such pair in 300,000 falls below; unrelated pages give 128.
+SKETCH_AGREE = 155
+#: The same for the half of the bits that goes through the join on keys: 93 with a deviation of 5.
+HALF_AGREE = 74
 SKETCH = ("size", "s0", "s1")
 _words = re.compile(r"[^\W_]+")
 _cache: dict[str, tuple[int, int]] = {}
@@ -89,8 +91,8 @@ def _votes(h: np.ndarray, longs: int) -> np.ndarray:
 
 
 def sketch(sh: np.ndarray) -> list[int]:
-    """128-bit similarity sketch of a shingle set, as two signed longs."""
-    bits = _votes(sh, 2).sum(axis=0, dtype=np.int32) * 2 > len(sh)
+    """256-bit similarity sketch of a shingle set, as four signed longs."""
+    bits = _votes(sh, 4).sum(axis=0, dtype=np.int32) * 2 > len(sh)
     return np.packbits(bits).view(np.int64).tolist()
 
 
@@ -149,9 +151,9 @@ def _pages(docs: DataFrame, id_col: str, title_col: str, body_col: str) -> DataF
 
 
 def fingerprints(pages: DataFrame) -> DataFrame:
-    """(id, same, size, s0, s1, pair, third) of each page with three words or more."""
+    """(id, same, size, s0..s3, pair, third) of each page with three words or more."""
     id_type = pages.schema["id"].dataType.simpleString()
-    names = ["id", "same", *SKETCH, "pair", "third"]
+    names = ["id", "same", *SKETCH, "s2", "s3", "pair", "third"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,10 +173,10 @@ def fingerprints(pages: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([w[k] for w in found]) if found else [], pa.int64())) for k in range(2)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, b.schema.field(0).type), pa.array(same, pa.binary()), pa.array(size, pa.int32()),
-                 *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(2)), *lists], names,
+                 *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(4)), *lists], names,
             )
 
-    return pages.mapInArrow(run, f"id {id_type}, same binary, size int, s0 long, s1 long, pair array<long>, third array<long>")
+    return pages.mapInArrow(run, f"id {id_type}, same binary, size int, s0 long, s1 long, s2 long, s3 long, pair array<long>, third array<long>")
 
 
 def parted(reps: DataFrame) -> DataFrame:
@@ -217,10 +219,14 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "n long, shingles array<long>")
 
 
+def _differ(longs: int) -> Column:
+    """Bits of the sketches in which rows ``a`` and ``b`` differ."""
+    return sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(longs)), F.lit(0))
+
+
 def _alike(similarity: float) -> Column:
-    """Rows ``a`` and ``b`` of one part have a key in common and may be similar, by size and sketch."""
-    differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(2)), F.lit(0))
-    return F.arrays_overlap("a.near", "b.near") & (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (128 - differ >= SKETCH_AGREE)
+    """Rows ``a`` and ``b`` of one part have a key in common and may be similar, by size and half of the sketch."""
+    return F.arrays_overlap("a.near", "b.near") & (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")) & (128 - _differ(2) >= HALF_AGREE)
 
 
 class Candidates:
@@ -246,7 +252,9 @@ class Candidates:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(x, y, similarity) of the pairs whose exact similarity is high enough."""
-        pairs = stage(pairs)
+        sketches = self.prints.select("n", "s0", "s1", "s2", "s3")
+        a, b = sketches.alias("a"), sketches.alias("b")
+        pairs = stage(pairs.join(a, F.col("x") == F.col("a.n")).join(b, F.col("y") == F.col("b.n")).where(256 - _differ(4) >= SKETCH_AGREE).select("x", "y"))
         needed = pairs.select(F.col("x").alias("n")).union(pairs.select("y")).distinct()
         texts = self.pages.join(self.names.join(needed, "n", "left_semi"), "id").select("n", "same", "title", "body")
         sets = stage(shingle_sets(texts))
