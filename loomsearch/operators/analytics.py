@@ -37,8 +37,12 @@ def demand(log: DataFrame, column: str, name: str) -> DataFrame:
 
 def query_memory(log: DataFrame) -> DataFrame:
     """One row for each normalised query: key, frequency, last seen and the domains it led to."""
-    domains = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("result_domains", F.array().cast("array<string>"))))))
-    out = log.where("normalized_query is not null").groupBy("normalized_query").agg(F.count("*").alias("frequency"), F.max("occurred_at").alias("last_seen_at"), domains.alias("domains"))
+    seen = log.where("normalized_query is not null")
+    out = seen.groupBy("normalized_query").agg(F.count("*").alias("frequency"), F.max("occurred_at").alias("last_seen_at"))
+    # Distinct pairs first: a query that holds a third of the log brings each of its domains once.
+    pairs = seen.select("normalized_query", F.explode("result_domains").alias("domain")).where("domain is not null").distinct()
+    domains = pairs.groupBy("normalized_query").agg(F.array_sort(F.collect_list("domain")).alias("domains"))
+    out = out.join(domains, "normalized_query", "left").withColumn("domains", F.coalesce("domains", F.array().cast("array<string>")))
     return out.withColumn("memory_id", F.substring(F.sha2("normalized_query", 256), 1, 24))
 
 

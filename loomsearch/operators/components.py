@@ -13,7 +13,8 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Each round links every node of a star to the least node in it (alternating large and
     small stars), so the number of rounds grows with the logarithm of the longest chain, and
-    a hub with a third of all links is combined before it moves. Null ends are left out.
+    a hub with a third of all links is combined before it moves. Null ends are left out. Links that
+    have not settled after ``max_rounds`` (chains far beyond any number of rows) end in an error.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = stage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -30,4 +31,6 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -37,13 +37,16 @@ def upsert(entities: DataFrame) -> DataFrame:
     """
     key = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "))
     at = F.struct("first_seen_at", "entity_id")
-    alias = F.coalesce("aliases", F.array().cast("array<string>"))
-    folded = entities.where("name is not null").groupBy("node_type", key.alias("name_key")).agg(
+    keyed = entities.where("name is not null").withColumn("name_key", key)
+    alias = keyed.select("node_type", "name_key", F.explode("aliases").alias("a")).where("a is not null").distinct()
+    # Null types match one another, so that no row loses its aliases.
+    alias = alias.groupBy(F.col("node_type").alias("t"), F.col("name_key").alias("k")).agg(F.array_sort(F.collect_list("a")).alias("aliases"))
+    folded = keyed.groupBy("node_type", "name_key").agg(
         F.min_by("entity_id", at).alias("entity_id"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(alias)))).alias("aliases"),
         F.max(F.struct(F.length(F.coalesce("description", F.lit(""))).alias("n"), F.coalesce("description", F.lit("")).alias("d")))["d"].alias("description"),
         F.min_by(F.col("popularity").cast("double"), at).alias("p0"), F.count("*").alias("observations"),
     )
+    folded = folded.join(alias, F.col("node_type").eqNullSafe(F.col("t")) & (F.col("name_key") == F.col("k")), "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     return folded.select("node_type", "name_key", "entity_id", "aliases", "description", F.least(F.lit(1.0), F.col("p0") + 0.01 * (F.col("observations") - 1)).alias("popularity"), "observations")
 
 

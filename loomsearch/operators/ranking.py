@@ -62,6 +62,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 51
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def hybrid(lexical: DataFrame, near: DataFrame, static: DataFrame) -> DataFrame:
+    """(query_id, id, lexical, semantic, total): candidates that words or vectors find, each scored by both and by itself.
+
+    ``lexical`` holds raw scores, ``near`` closeness, ``static`` one score a document. A side that
+    did not find a document counts 0; documents without a static score are no candidates.
+    """
+    both = lexical.select("query_id", "id", saturate(F.col("score")).alias("lexical")).join(near.select("query_id", "id", F.col("closeness").alias("semantic")), ["query_id", "id"], "full_outer")
+    given = both.select("query_id", "id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lexical", "semantic")]).join(static, "id")
+    return given.select("query_id", "id", "lexical", "semantic", (F.col("lexical") + F.col("semantic") + F.col("static")).alias("total"))
+
+
 def fuse(lists: DataFrame, keys: list[str], item: str, k: int = 60) -> DataFrame:
     """Weighted reciprocal rank fusion of ranked lists.
 

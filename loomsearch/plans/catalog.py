@@ -48,44 +48,79 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return log.select(F.col("normalized_query").alias("query_id"), F.explode(F.array_distinct(text.words("normalized_query"))).alias("term")).distinct()
 
 
-BM25 = f"""
-    q AS (SELECT DISTINCT normalized_query AS query_id, unnest({WORDS.format("normalized_query")}) AS term FROM query_log WHERE id % 20 = 0 AND normalized_query IS NOT NULL),
-    d AS (SELECT doc_id AS id, {WORDS.format(PAGE)} AS w FROM web_document),
-    p AS (SELECT id, len(w) AS len, unnest(w) AS term FROM d),
-    tf AS (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM p WHERE term IN (SELECT term FROM q) GROUP BY id, term),
-    st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM d),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+def bm25_sql(queries: str, docs: str) -> str:
+    """Parts of a WITH that end in s (query_id, id, score), from the SQL of (query_id, term) and (id, field f, words w)."""
+    return f"""
+    q AS ({queries}), d AS ({docs}),
+    p AS (SELECT id, f, len(w) AS len, unnest(w) AS term FROM d),
+    tf AS (SELECT id, f, term, count(*) AS tf, any_value(len) AS len FROM p WHERE term IN (SELECT term FROM q) GROUP BY id, f, term),
+    st AS (SELECT f, count(*) AS n_docs, avg(len(w)) AS avg_len FROM d GROUP BY f),
+    df AS (SELECT f, term, count(*) AS df FROM tf GROUP BY f, term),
     wt AS (SELECT term, id, ln(1 + (n_docs - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / avg_len)) AS weight
-           FROM tf JOIN df USING (term), st),
+           FROM tf JOIN df USING (f, term) JOIN st USING (f)),
     s AS (SELECT query_id, id, sum(weight) AS score FROM wt JOIN q USING (term) GROUP BY query_id, id)"""
 
 
+ASKED = f"SELECT DISTINCT normalized_query AS query_id, unnest({WORDS.format('normalized_query')}) AS term FROM query_log WHERE id % 20 = 0 AND normalized_query IS NOT NULL"
+BM25 = bm25_sql(ASKED, f"SELECT doc_id AS id, 0 AS f, {WORDS.format(PAGE)} AS w FROM web_document")
+#: The six fields of a page, each with its own lengths and frequencies.
+FIELDS = ("title", "description", "headings", "breadcrumbs", "body", "chunks")
+SIX = f"""SELECT id, f, {WORDS.format("t")} AS w FROM (SELECT doc_id AS id, unnest(range(6)) AS f, unnest([coalesce(title, ''), coalesce(description, ''), coalesce(array_to_string(headings, ' '), ''),
+    coalesce(array_to_string(breadcrumbs, ' '), ''), coalesce(body, ''), coalesce(array_to_string(chunks, ' '), '')]) AS t FROM web_document)"""
+
+
+def page_fields() -> list:
+    return [F.array_join(f, " ") if f in ("headings", "breadcrumbs", "chunks") else F.col(f) for f in FIELDS]
+
+
 @query(f"""
     WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s)
     SELECT query_id, id AS doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= 10""")
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
-    scored = text.bm25(read(spark, d, "web_document"), asked(spark, d), "doc_id", page_text())
-    return text.top_per_query(scored, 10).select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 4).alias("score"))
+    best = text.best_lexical(read(spark, d, "web_document"), asked(spark, d), "doc_id", [page_text()], 10)
+    return best.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 4).alias("score"))
 
 
 FRESH = f"CASE WHEN coalesce(published_at, 0) <= 0 THEN 0.5::double ELSE pow(0.5::double, greatest({AS_OF_SECONDS} - published_at, 0)::double / {{0}}) END"
 
 
 @query(f"""
-    WITH {BM25}, m AS (SELECT doc_id, least(1.0::double, sum(c)) AS boost FROM (SELECT doc_id, entity_id, max(confidence)::double AS c FROM mentions GROUP BY doc_id, entity_id) GROUP BY doc_id),
+    WITH {bm25_sql(ASKED, SIX)}, m AS (SELECT doc_id, least(1.0::double, sum(c)) AS boost FROM (SELECT doc_id, entity_id, max(confidence)::double AS c FROM mentions GROUP BY doc_id, entity_id) GROUP BY doc_id),
     f AS (SELECT query_id, s.id, s.score / (s.score + 12) + coalesce(authority, 0.5)::double + {FRESH.format(365 * 86400)} + coalesce(m.boost, 0) + coalesce(graph_importance, 0)::double AS total
           FROM s JOIN web_document w ON w.doc_id = s.id LEFT JOIN m ON m.doc_id = s.id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 6) DESC, id) AS rank FROM f)
     SELECT query_id, id AS doc_id, rank, round(total, 4) AS total FROM r WHERE rank <= 10""")
 def first_phase_top10(spark: SparkSession, d: str) -> DataFrame:
-    pages = read(spark, d, "web_document")
-    scored = text.bm25(pages, asked(spark, d), "doc_id", page_text())
     boost = read(spark, d, "mentions").groupBy("doc_id", "entity_id").agg(F.max("confidence").cast("double").alias("c")).groupBy("doc_id").agg(F.least(F.lit(1.0), F.sum("c")).alias("boost"))
-    static = pages.select(F.col("doc_id").alias("id"), (F.coalesce("authority", F.lit(0.5)).cast("double") + ranking.freshness(F.col("published_at"), AS_OF_SECONDS, F.lit(365 * 86400))
-             + F.coalesce("graph_importance", F.lit(0)).cast("double")).alias("static"))
-    full = scored.join(static, "id").join(boost.withColumnRenamed("doc_id", "id"), "id", "left")
-    full = full.withColumn("total", ranking.saturate(F.col("score")) + F.col("static") + F.coalesce("boost", F.lit(0.0)))
-    return text.top_per_query(full, 10, "total").select("query_id", F.col("id").alias("doc_id"), "rank", F.round("total", 4).alias("total"))
+    pages = read(spark, d, "web_document").join(boost, "doc_id", "left")
+    static = (F.coalesce("authority", F.lit(0.5)).cast("double") + ranking.freshness(F.col("published_at"), AS_OF_SECONDS, F.lit(365 * 86400))
+              + F.coalesce("graph_importance", F.lit(0)).cast("double") + F.coalesce("boost", F.lit(0.0)))
+    best = text.best_lexical(pages, asked(spark, d), "doc_id", page_fields(), 10, static)
+    return best.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 4).alias("total"))
+
+
+SEARCHES = "SELECT doc_id AS query_id, unnest({0}) AS term FROM documents WHERE source = 'search_query' AND doc_id % 20 = 0"
+CLOSE = "1 / (1 + acos(greatest(-1, least(1, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double))))))"
+
+
+@query(f"""
+    WITH {bm25_sql("SELECT DISTINCT * FROM (" + SEARCHES.format(WORDS.format("text")) + ")", f"SELECT doc_id AS id, 0 AS f, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 0, [] FROM documents WHERE text IS NULL")},
+    n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {CLOSE} AS c FROM embeddings a JOIN documents ON doc_id = a.vec_id AND source = 'search_query' AND doc_id % 20 = 0, embeddings b WHERE a.vec_id <> b.vec_id),
+    v AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, id) <= 100),
+    t AS (SELECT query_id, id, coalesce(score / (score + 12), 0) AS lexical, coalesce(c, 0) AS semantic FROM (SELECT * FROM s WHERE query_id <> id) FULL JOIN v USING (query_id, id)),
+    z AS (SELECT query_id, id, lexical, semantic, lexical + semantic + CASE WHEN fetched_at IS NULL THEN 0.5::double ELSE pow(0.5::double, greatest({AS_OF_SECONDS} - floor(epoch(fetched_at)), 0) / 31536000) END AS total FROM t JOIN documents ON doc_id = id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 6) DESC, id) AS rank FROM z)
+    SELECT query_id, id AS doc_id, rank, round(lexical, 4) AS lexical, round(semantic, 4) AS semantic, round(total, 4) AS total FROM r WHERE rank <= 10""")
+def hybrid_top10(spark: SparkSession, d: str) -> DataFrame:
+    """Words or vectors: a document that either finds is a candidate, for searches whose id is divisible by 20."""
+    docs, vectors = read(spark, d, "documents"), read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    searches = docs.where("source = 'search_query' and doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    lexical = text.bm25(docs, searches.select("query_id", F.explode(text.words("text")).alias("term")).distinct(), "doc_id", F.col("text"))
+    close = ranking.nearest(vectors, searches.join(vectors, F.col("query_id") == F.col("id")).select("query_id", "vector"), 101)
+    near = text.top_per_query(close.where("query_id <> id").drop("rank"), 100, "closeness")
+    static = docs.select(F.col("doc_id").alias("id"), ranking.freshness(F.unix_timestamp("fetched_at"), AS_OF_SECONDS, F.lit(365 * 86400)).alias("static"))
+    found = ranking.hybrid(lexical.where("query_id <> id"), near, static)
+    return text.top_per_query(found, 10, "total").select("query_id", F.col("id").alias("doc_id"), "rank", *[F.round(x, 4).alias(x) for x in ("lexical", "semantic", "total")])
 
 
 @query("""
@@ -376,7 +411,30 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return replies.citations(read(spark, d, "documents"), "doc_id", "text")
 
 
-@query(f"SELECT query, amount, unit_from, unit_to, round(CASE WHEN dimension = 'temperature' THEN {units.TEMPERATURE_SQL} ELSE amount * f_from / f_to END, 6) AS converted FROM ({units.PARSED_SQL})")
+#: The unit table once more, by itself, so that a wrong value in either place shows.
+UNIT_SQL = """VALUES ('bytes', 'data', 1::double, 'b byte bytes'), ('kilobytes', 'data', 1000, 'kb kilobyte kilobytes'), ('megabytes', 'data', 1000000, 'mb megabyte megabytes'), ('gigabytes', 'data', 1e9, 'gb gigabyte gigabytes'),
+    ('terabytes', 'data', 1e12, 'tb terabyte terabytes'), ('petabytes', 'data', 1e15, 'pb petabyte petabytes'), ('kibibytes', 'data', 1024, 'kib kibibyte kibibytes'), ('mebibytes', 'data', 1048576, 'mib mebibyte mebibytes'),
+    ('gibibytes', 'data', 1073741824, 'gib gibibyte gibibytes'), ('tebibytes', 'data', 1099511627776, 'tib tebibyte tebibytes'), ('millimetres', 'length', 0.001, 'mm millimetre millimetres millimeter millimeters'),
+    ('centimetres', 'length', 0.01, 'cm centimetre centimetres centimeter centimeters'), ('metres', 'length', 1, 'm metre metres meter meters'), ('kilometres', 'length', 1000, 'km kilometre kilometres kilometer kilometers'),
+    ('inches', 'length', 0.0254, 'in inch inches'), ('feet', 'length', 0.3048, 'ft foot feet'), ('yards', 'length', 0.9144, 'yd yard yards'), ('miles', 'length', 1609.344, 'mi mile miles'), ('grams', 'mass', 1, 'g gram grams'),
+    ('kilograms', 'mass', 1000, 'kg kilo kilos kilogram kilograms'), ('tonnes', 'mass', 1000000, 't tonne tonnes'), ('ounces', 'mass', 28.349523125, 'oz ounce ounces'), ('pounds', 'mass', 453.59237, 'lb lbs pound pounds'),
+    ('stone', 'mass', 6350.29318, 'st stone stones'), ('milliseconds', 'time', 0.001, 'ms millisecond milliseconds'), ('seconds', 'time', 1, 's sec secs second seconds'), ('minutes', 'time', 60, 'min mins minute minutes'),
+    ('hours', 'time', 3600, 'h hr hrs hour hours'), ('days', 'time', 86400, 'd day days'), ('weeks', 'time', 604800, 'wk week weeks'), ('Celsius', 'temperature', 1, 'c °c celsius centigrade'), ('Fahrenheit', 'temperature', 1, 'f °f fahrenheit'),
+    ('Kelvin', 'temperature', 1, 'k kelvin')"""
+NUMBER_SQL = "CASE WHEN {0} = 0 THEN '0' WHEN abs({0}) < 1 THEN regexp_replace(format('{{:,.6f}}', round({0}, 6)), '[.]?0+$', '') WHEN abs({0}) < 1000 THEN regexp_replace(format('{{:,.4f}}', round({0}, 4)), '[.]?0+$', '') ELSE regexp_replace(format('{{:,.2f}}', round({0}, 2)), '[.]?0+$', '') END"
+NUMBER_SQL = f"replace(replace('<' || ({NUMBER_SQL}) || '>', '<-0>', '<0>'), '<>', '<0>')[2:-2]"
+UNIT_NAME = "CASE WHEN abs({0}) = 1 THEN regexp_replace({1}, 's$', '') ELSE {1} END"
+
+
+@query(rf"""
+    WITH u AS (SELECT unit, dimension, factor, unnest(string_split(names, ' ')) AS name FROM ({UNIT_SQL}) x(unit, dimension, factor, names)),
+    q AS (SELECT query, string_split_regex(trim(query), '\s+(to|in|as|into)\s+') AS p FROM (SELECT DISTINCT normalized_query AS query FROM query_log WHERE regexp_matches(normalized_query, '^\s*[0-9.,-]+\s*[A-Za-z°]+\s+(to|in|as|into)\s+[A-Za-z°]+\s*$'))),
+    n AS (SELECT query, try_cast(replace(regexp_extract(p[1], '^[0-9.,-]+'), ',', '') AS double) AS amount, lower(trim(regexp_replace(p[1], '^[0-9.,-]+', ''))) AS a, lower(p[2]) AS b FROM q),
+    j AS (SELECT query, amount, x.unit AS unit_from, y.unit AS unit_to, x.dimension, x.factor AS fa, y.factor AS fb FROM n JOIN u x ON x.name = a JOIN u y ON y.name = b AND y.dimension = x.dimension AND y.unit <> x.unit WHERE amount IS NOT NULL),
+    k AS (SELECT *, CASE unit_from WHEN 'Fahrenheit' THEN (amount - 32) * 5 / 9 WHEN 'Kelvin' THEN amount - 273.15::double ELSE amount END AS t FROM j),
+    c AS (SELECT query, amount, unit_from, unit_to, CASE WHEN dimension <> 'temperature' THEN amount * fa / fb WHEN unit_to = 'Fahrenheit' THEN t * 9 / 5 + 32 WHEN unit_to = 'Kelvin' THEN t + 273.15::double ELSE t END AS converted FROM k)
+    SELECT query, amount, unit_from, unit_to, round(converted, 6) AS converted,
+      {NUMBER_SQL.format("amount")} || ' ' || {UNIT_NAME.format("amount", "unit_from")} || ' is ' || {NUMBER_SQL.format("converted")} || ' ' || {UNIT_NAME.format("converted", "unit_to")} || '.' AS answer FROM c""")
 def unit_conversions(spark: SparkSession, d: str) -> DataFrame:
     asked_for = read(spark, d, "query_log").select(F.col("normalized_query").alias("query")).distinct()
     return units.convert(asked_for, "query", "query").withColumn("converted", F.round("converted", 6))

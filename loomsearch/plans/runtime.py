@@ -1,4 +1,4 @@
-"""Session helpers shared by every operator: table reading, staging, lineage cuts."""
+"""Session helpers shared by every operator: table reading and staging."""
 
 from __future__ import annotations
 
@@ -17,28 +17,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, a new temporary folder is made
-    and remembered in the session's configuration.
+    Only where the setting is absent and the session is local, as in tests, a new temporary folder
+    is made and remembered in the session's configuration; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; lineage ends here and survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 _staged: list[tuple[SparkSession, str]] = []
 
 
-def _drop_staged() -> None:
+def drop_staged() -> None:
+    """Delete the staged tables of this process; frames that still read them are then of no use."""
     for spark, path in _staged:
         try:
             jvm = spark.sparkContext._jvm
@@ -46,6 +41,7 @@ def _drop_staged() -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session has ended; the cluster's own clean-up has the folder
             pass
+    _staged.clear()
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -57,7 +53,7 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     if not _staged:
-        atexit.register(_drop_staged)
+        atexit.register(drop_staged)
     df.write.option("compression", "zstd").parquet(path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

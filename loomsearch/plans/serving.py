@@ -11,8 +11,11 @@ from loomsearch.operators import analytics, ranking, text
 from loomsearch.plans.catalog import AS_OF, BM25, LOG, asked, log_once, page_text, query, ranking_metrics, CATALOG
 from loomsearch.plans.runtime import read, stage
 
-HOST_SQL = f"CASE WHEN NOT regexp_matches(lower(trim(normalized_query)), '\\.({understanding.FILE_ENDINGS})$') THEN nullif(regexp_extract(lower(trim(normalized_query)), '{understanding.HOST}', 1), '') END"
-STOPS = ", ".join(f"'{w}'" for w in understanding.STOP_WORDS)
+HOST_LOW = "lower(trim(normalized_query))"
+LABELS = f"string_split(split_part(regexp_replace({HOST_LOW}, '^https?://', ''), '/', 1), '.')"
+HOST_SQL = rf"""CASE WHEN len({LABELS}) > 1 AND len(list_filter({LABELS}, lambda x: NOT regexp_matches(x, '^[a-z0-9-]+$') OR starts_with(x, '-') OR ends_with(x, '-'))) = 0 AND regexp_matches({LABELS}[-1], '^[a-z][a-z]+$')
+    AND NOT regexp_matches({HOST_LOW}, '\s') AND NOT regexp_matches({HOST_LOW}, '[.](js|ts|py|rb|go|rs|java|c|cpp|h|json|md|txt|sh|yml|yaml|toml|css|html|jsx|tsx|php)$') THEN array_to_string({LABELS}, '.') END"""
+STOPS = "'the', 'a', 'an', 'of', 'in', 'on', 'at', 'to', 'for', 'and', 'or', 'is', 'are', 'was', 'were', 'be', 'been', 'how', 'what', 'why', 'when', 'where', 'who', 'which', 'did', 'do', 'does', 'many', 'much'"
 
 
 @query(f"""
@@ -27,24 +30,30 @@ def typed_hosts(spark: SparkSession, d: str) -> DataFrame:
 TERMS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: len(w) > 2 AND w NOT IN (" + STOPS + ")))"
 
 
-@query(f"""
+@query(rf"""
     WITH t AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: starts_with(x, 'User:')) AS turns FROM documents WHERE source = 'chat_turn'),
     u AS (SELECT doc_id, unnest(range(1, len(turns) + 1)) AS turn_no, unnest(turns) AS line, turns FROM t),
     x AS (SELECT doc_id, turn_no, trim(substr(line, 6)) AS turn, CASE WHEN turn_no > 1 THEN trim(substr(turns[turn_no - 1], 6)) END AS prev FROM u),
-    s AS (SELECT *, regexp_matches(lower(turn), '{understanding.PRONOUNS.replace("'", "''")}') AS p, regexp_matches(lower(turn), '{understanding.OPENINGS}') AS e, len(string_split_regex(trim(turn), '\\s+')) <= 5 AS sh, {TERMS.format("turn")} AS a, {TERMS.format("coalesce(prev, '')")} AS b FROM x),
+    s AS (SELECT *, regexp_matches(lower(turn), '\b(it|its|it''s|they|them|their|there|he|him|his|she|her|hers|this|that|these|those|one|ones)\b') AS p, regexp_matches(lower(turn), '^\s*(and|but|so|what about|how about|why|when|where|who|how)\b') AS e,
+      len(string_split_regex(trim(turn), '\s+')) <= 5 AS sh, {TERMS.format("turn")} AS a, {TERMS.format("coalesce(prev, '')")} AS b,
+      len(list_filter(list_distinct(regexp_extract_all(prev, ' ([A-Z][a-z][a-z]+)', 1)), lambda n: list_contains(string_split_regex(lower(turn), '[^a-z0-9_]+'), lower(n)))) AS shared FROM x),
     j AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) ELSE 0 END AS sim FROM s)
-    SELECT doc_id, turn_no, p AS pronoun, e AS elliptical, sh AS short, round(sim, 6) AS similarity, prev IS NOT NULL AND (p OR e) AND (sh OR sim >= 0.2) AS follows FROM j""")
+    SELECT doc_id, turn_no, p AS pronoun, e AS elliptical, sh AS short, coalesce(shared, 0) AS shared, round(sim, 6) AS similarity,
+      prev IS NOT NULL AND (((p OR e) AND sh) OR coalesce(shared, 0) > 0 OR ((p OR e) AND sim >= 0.2)) AS follows FROM j""")
 def follow_ups(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of a chat; a turn's names are its words with a capital letter that do not begin it. The texts hold no times."""
     said = lambda c: F.trim(F.substring(c, 6, 1 << 30))
     turns = read(spark, d, "documents").where("source = 'chat_turn' and text is not null").select("doc_id", F.filter(F.split("text", "\n", -1), lambda x: x.startswith("User:")).alias("turns"))
     u = turns.select("doc_id", "turns", F.posexplode("turns").alias("at", "line"))
     pair = u.select("doc_id", (F.col("at") + 1).cast("long").alias("turn_no"), said(F.col("line")).alias("turn"), F.when(F.col("at") > 0, said(F.get("turns", F.col("at") - 1))).alias("prev"))
-    signs = understanding.follow_up(F.col("turn"), F.col("prev"))
-    return pair.select("doc_id", "turn_no", *[(F.round(c, 6) if n == "similarity" else c).alias(n) for n, c in signs.items()])
+    names = F.regexp_extract_all("prev", F.lit(" ([A-Z][a-z][a-z]+)"), F.lit(1))
+    signs = understanding.follow_up(F.col("turn"), F.col("prev"), names)
+    shape = {"similarity": lambda c: F.round(c, 6), "shared": lambda c: c.cast("long")}
+    return pair.select("doc_id", "turn_no", *[shape.get(n, lambda c: c)(c).alias(n) for n, c in signs.items()])
 
 
 def lexical_top(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return text.top_per_query(text.bm25(read(spark, d, "web_document"), asked(spark, d), "doc_id", page_text()), k)
+    return text.best_lexical(read(spark, d, "web_document"), asked(spark, d), "doc_id", [page_text()], k)
 
 
 @query(f"""
@@ -75,10 +84,11 @@ def merged_domains(spark: SparkSession, d: str) -> DataFrame:
 
 OFFICIAL = "official_domain IS NOT NULL AND official_domain <> ''"
 ON_HOST = "(regexp_replace(lower(domain), '^www\\.', '') = regexp_replace(lower(official_domain), '^www\\.', '') OR ends_with(regexp_replace(lower(domain), '^www\\.', ''), '.' || regexp_replace(lower(official_domain), '^www\\.', '')))"
+GENERAL = "coalesce(regexp_matches(lower(domain), '(^|[.]){0}$'), false)"
 PLACED = f"""
     m AS (SELECT entity_id, doc_id, max(coalesce(confidence, 0))::double AS c FROM mentions GROUP BY 1, 2),
     p AS (SELECT m.entity_id, doc_id, official_domain, domain, path, row_number() OVER (PARTITION BY m.entity_id ORDER BY c DESC, doc_id) AS pos FROM m JOIN (SELECT * FROM entities WHERE {OFFICIAL}) e USING (entity_id) JOIN web_document USING (doc_id)),
-    r AS (SELECT *, coalesce({ON_HOST}, false) AS own FROM p WHERE pos <= 50)"""
+    r AS (SELECT *, coalesce({ON_HOST}, false) AS own FROM p)"""
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +100,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH {PLACED}, z AS (SELECT *, len(list_filter(string_split(coalesce(path, ''), '/'), lambda x: x <> '')) AS depth, greatest(0.0::double, 1 - 0.05::double * (pos - 1)) AS base FROM r),
-    s AS (SELECT *, CASE WHEN own THEN 2 + [1.0::double, 0.6, 0.3, 0.1][least(depth, 3) + 1] + 0.05::double * base ELSE base END AS score FROM z)
+    s AS (SELECT *, CASE WHEN own THEN 2 + [1.0::double, 0.6, 0.3, 0.1][least(depth, 3) + 1] + 0.05::double * base ELSE base - CASE WHEN {GENERAL.format("wikipedia.org")} THEN 0.15::double WHEN {GENERAL.format("github.com")} THEN 0.10::double WHEN {GENERAL.format("reddit.com")} THEN 0.10::double
+      WHEN {GENERAL.format("stackoverflow.com")} THEN 0.05::double WHEN {GENERAL.format("medium.com")} THEN 0.05::double WHEN {GENERAL.format("quora.com")} THEN 0.05::double ELSE 0 END END AS score FROM z)
     SELECT entity_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY entity_id ORDER BY round(score, 6) DESC, pos) AS place FROM s""")
 def official_first(spark: SparkSession, d: str) -> DataFrame:
     score = F.round(ranking.official_score(F.col("pos"), F.col("domain"), F.col("path"), F.col("official_domain")), 6)
@@ -150,8 +161,8 @@ def reply_answers(spark: SparkSession, d: str) -> DataFrame:
     return a.select("doc_id", F.length("answer").cast("long").alias("answer_chars"), F.sha2("answer", 256).alias("answer_hash"), F.size("suggestions").cast("long").alias("n_suggestions"), F.array_join("suggestions", "|").alias("suggestions"))
 
 
-KINDS = ", ".join(f"'{k}'" for k in replies.NODE_TYPES)
-STATED = f"CASE WHEN regexp_matches(c[{{0}}], '{replies.NUMBER}') THEN least(0.6::double, greatest(0::double, c[{{0}}]::double)) ELSE 0.3::double END"
+KINDS = "'Person', 'Organization', 'Product', 'Place', 'Technology', 'Event', 'Capability'"
+STATED = f"CASE WHEN regexp_matches(c[{{0}}], '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$') THEN least(0.6::double, greatest(0::double, c[{{0}}]::double)) ELSE 0.3::double END"
 EXTRACTED = f"""
     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents WHERE text IS NOT NULL),
     h AS (SELECT doc_id, n, trim(line, ' ') AS line, CASE WHEN upper(regexp_replace(line, '[^A-Za-z]', '', 'g')) IN ('ENTITIES', 'EDGES') THEN upper(regexp_replace(line, '[^A-Za-z]', '', 'g')) END AS head FROM l),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,23 +31,49 @@ def coverage_stream(log: DataFrame, ts: str = "occurred_at", window: str = "1 da
 
 
 def memory_sink(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep query memory (frequency, last seen) as one table version for each micro-batch.
+    """Keep query memory (frequency, last seen) as one small delta for each micro-batch.
 
-    A batch is folded into the version before it, so memory is rewritten and never updated
-    in place; a batch that runs again after a failure writes the same version.
+    A batch writes only the queries it holds, folded; one that runs again after a failure
+    writes the same delta. ``memory`` reads the whole, ``compact`` folds deltas into a base.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         new = batch.where("normalized_query is not null").groupBy("normalized_query").agg(F.count("*").alias("frequency"), F.max("occurred_at").alias("last_seen_at"))
-        if number:
-            old = spark.read.parquet(f"{path}/version={number - 1}")
-            new = old.select(*new.columns).union(new).groupBy("normalized_query").agg(F.sum("frequency").alias("frequency"), F.max("last_seen_at").alias("last_seen_at"))
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
+        new.write.mode("overwrite").parquet(f"{path}/delta/batch={number}")
 
     return log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _parts(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing written yet
+        return None
+
+
+def memory(spark: SparkSession, path: str) -> DataFrame:
+    """(normalized_query, frequency, last_seen_at): the newest base and the deltas after it, folded by query."""
+    columns, base, delta = ["normalized_query", "frequency", "last_seen_at"], _parts(spark, f"{path}/base"), _parts(spark, f"{path}/delta")
+    if base is not None:
+        newest = base.agg(F.max("upto")).first()[0]
+        base = base.where(F.col("upto") == newest).select(*columns)
+        delta = delta.where(F.col("batch") > newest)
+    if delta is None:
+        return spark.createDataFrame([], "normalized_query string, frequency long, last_seen_at timestamp")
+    rows = delta.select(*columns) if base is None else base.union(delta.select(*columns))
+    return rows.groupBy("normalized_query").agg(F.sum("frequency").alias("frequency"), F.max("last_seen_at").alias("last_seen_at"))
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Write a new base up to the last delta; older bases and deltas are no longer read and may be deleted.
+
+    Run between batches, as by the job that starts the stream.
+    """
+    delta = _parts(spark, f"{path}/delta")
+    if delta is not None:
+        memory(spark, path).write.mode("overwrite").parquet(f"{path}/base/upto={delta.agg(F.max('batch')).first()[0]}")
+
+
 def event_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of search events to a folder, exactly once through the checkpoint."""
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -89,15 +89,17 @@ def test_fusion(spark):
 
 
 def test_units(spark):
-    asked = ["450 gb to tb", "180 c to f", "1,500 m to km", "10 km to kg", "3 h in min", "hello", None, "5 m to m"]
+    asked = ["450 gb to tb", "180 c to f", "1,500 m to km", "10 km to kg", "3 h in min", "hello", None, "5 m to m", "5 inch to inches", "10 c to celsius", "2 kilometres in meters", "1.2.3 m to km", "what is 5 m to km", "-40 °C as f", "1 kg to lb"]
     df = spark.createDataFrame([(n, q) for n, q in enumerate(asked)], "id int, q string")
     got = {r["id"]: r["converted"] for r in units.convert(df, "id", "q").collect()}
-    assert set(got) == {0, 1, 2, 4} and abs(got[0] - 0.45) < 1e-9 and abs(got[1] - 356) < 1e-9 and got[2] == 1.5 and got[4] == 180
+    assert set(got) == {0, 1, 2, 4, 10, 13, 14} and got[10] == 2000 and got[13] == -40 and abs(got[0] - 0.45) < 1e-9 and abs(got[1] - 356) < 1e-9 and got[2] == 1.5 and got[4] == 180
+    said = {r["id"]: r["answer"] for r in units.convert(df, "id", "q").collect()}
+    assert said[2] == "1,500 metres is 1.5 kilometres." and said[14] == "1 kilogram is 2.2046 pounds." and said[0] == "450 gigabytes is 0.45 terabytes."
 
 
 def test_urls(spark):
-    df = spark.createDataFrame([("https://WWW.A.example:443/p/?x=1#t",), ("http://a.example/p",), ("",)], "u string")
-    assert [r[0] for r in df.select(urls.canonical(F.col("u"))).collect()] == ["a.example/p", "a.example/p", ""]
+    df = spark.createDataFrame([("https://WWW.A.example:443/p/?x=1#t",), ("http://a.example/p",), ("",), (None,), ("http://a.example:8080/p?utm_source=x&id=2&ref=y#f",)], "u string")
+    assert [r[0] for r in df.select(urls.canonical(F.col("u"))).collect()] == ["a.example/p?x=1", "a.example/p", "", None, "a.example:8080/p?id=2"]
 
 
 def test_percentiles_and_changes(spark):
@@ -120,11 +122,20 @@ def test_text_edges(spark):
 def test_labels_and_external(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('// note\n\n{"id": "a", "query": "q", "intent": "news", "expectDomains": ["x"]}\n{"id": "b", "intent": ["news", "event"]}\n')
     assert {r["id"]: r["intent"] for r in readers.labels(spark, str(tmp_path)).collect()} == {"a": ["news"], "b": ["news", "event"]}
-    rows = [("q", "p", 1, "ftp://x", "t", "", "", ""), ("q", "p", 2, "https://a.example/x?u=1", None, "", "s", "d"), ("q", "p", 3, "http://www.a.example/x/", "t", "c", "", ""), ("q", "p", 4, "https://b.example", "t", None, None, None)]
+    rows = [("q", "p", 1, "ftp://x", "t", "", "", ""), ("q", "p", 2, "https://a.example/x?utm_source=1", None, "", "s", "d"), ("q", "p", 3, "http://www.a.example/x/", "t", "c", "", ""), ("q", "p", 4, "https://b.example", "t", None, None, None)]
     df = spark.createDataFrame(rows, "query_id string, provider string, rank int, url string, title string, content string, snippet string, description string")
     assert [(r["rank"], r["snippet"]) for r in readers.external_rows(df).orderBy("rank").collect()] == [(1, "s"), (2, "")]
 
 
+def test_memory_and_upsert_edges(spark):
+    log = spark.createDataFrame([("q", ["a", "b", None], 1), ("q", ["a"], 2), ("r", None, 3), (None, ["z"], 4)], "normalized_query string, result_domains array<string>, occurred_at long")
+    got = {r[0]: (r["frequency"], r["domains"]) for r in analytics.query_memory(log).collect()}
+    assert got == {"q": (2, ["a", "b"]), "r": (1, [])}
+    rows = [("1", "Redis", None, ["x", None], None, 0.5, 1), ("2", "redis!", None, ["y", "x"], "d", 0.9, 2), ("3", None, "Place", None, None, None, None)]
+    e = spark.createDataFrame(rows, "entity_id string, name string, node_type string, aliases array<string>, description string, popularity double, first_seen_at long")
+    assert [(r.entity_id, r.aliases, r.description, r.observations) for r in graph.upsert(e).collect()] == [("1", ["x", "y"], "d", 2)]
+
+
 def norm(v):
     if v is None or (isinstance(v, float) and v != v):
         return None

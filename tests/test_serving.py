@@ -22,6 +22,10 @@ def test_follow_up(spark):
     s = understanding.follow_up(F.col("t"), F.col("p"))
     got = [r[0] for r in spark.createDataFrame(rows, "t string, p string").select(s["follows"]).collect()]
     assert got == [True, False, False, True, False, False]
+    rows = [("compare Redis with the longest other store", "Redis", ["Redis"], 60), ("compare Redis with the longest other store", "Redis", ["Redis"], 9999), ("applesauce made at home in winter", "apple", ["Apple"], 5), ("c++ for old and new hands", "x", ["C++", None, ""], 5), ("why?", "x", None, None)]
+    s = understanding.follow_up(F.col("t"), F.col("p"), F.col("n"), F.col("s"))
+    got = [tuple(r) for r in spark.createDataFrame(rows, "t string, p string, n array<string>, s int").select(s["shared"], s["follows"]).collect()]
+    assert got[:3] == [(1, True), (1, False), (0, False)] and got[4] == (0, False)
     assert col(spark, ["the fires of 2020 the fires", "", None], understanding.terms) == [["fires", "2020"], [], None]
 
 

@@ -21,10 +21,14 @@ def test_memory_and_sink(spark, tmp_path):
     schema = spark.read.parquet(src).schema
     q = ops.memory_sink(ops.log_stream(spark, src, schema, files_per_batch=1), str(tmp_path / "mem"), str(tmp_path / "c1"))
     q.awaitTermination(120)
-    versions = sorted((tmp_path / "mem").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    got = {r[0]: r[1] for r in spark.read.parquet(str(versions[-1])).select("normalized_query", "frequency").collect()}
+    got = {r[0]: r[1] for r in ops.memory(spark, str(tmp_path / "mem")).collect()}
     want = {r[0]: r[1] for r in spark.read.parquet(src).where("normalized_query is not null").groupBy("normalized_query").count().collect()}
     assert got == want
+    ops.compact(spark, str(tmp_path / "mem"))
+    assert {r[0]: r[1] for r in ops.memory(spark, str(tmp_path / "mem")).collect()} == want
+    spark.createDataFrame([("q1", 5, T0)], "normalized_query string, frequency long, last_seen_at timestamp").write.parquet(str(tmp_path / "mem" / "delta" / "batch=99"))
+    assert {r[0]: r[1] for r in ops.memory(spark, str(tmp_path / "mem")).collect()} == want | {"q1": want["q1"] + 5}
+    assert ops.memory(spark, str(tmp_path / "none")).count() == 0
     ops.event_sink(ops.log_stream(spark, src, schema), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 45
 
