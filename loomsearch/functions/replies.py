@@ -89,3 +89,38 @@ def extracted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     for end in ("source", "target"):
         ends = ends.withColumn("low", F.lower(end)).join(known, ["id", "low"], "left_semi").drop("low")
     return entities, ends.groupBy("id", "source", "relation", "target").agg(F.max("confidence").alias("confidence"))
+
+
+#: A citation mark: one number or several in square brackets.
+MARK = r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"
+
+
+def resolve(answers: DataFrame, results: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, text, cited, named): answers whose citations all lead to a result.
+
+    ``results`` holds id_col, ``rank`` from 1 and more. Numbers without a result go from their mark, a
+    mark without numbers goes whole, blanks that then meet become one. ``cited`` are the places
+    cited, ascending and once each; ``named`` all numbers of the text before. A null text gives no
+    row; an answer without results keeps no citation.
+    """
+    known = results.groupBy(id_col).agg(F.max("rank").alias("_n"))
+    base = answers.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("_t")).join(known, id_col, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    numbers = lambda m: F.transform(F.split(m, ","), lambda x: F.trim(x).try_cast("int"))
+    marks = base.withColumn("_m", F.transform(F.regexp_extract_all("_t", F.lit(MARK), F.lit(1)), numbers)).withColumn("_p", F.split("_t", MARK, -1))
+    kept = marks.withColumn("_k", F.transform("_m", lambda m: F.filter(m, lambda x: (x >= 1) & (x <= F.col("_n")))))
+    shown = F.transform("_k", lambda k: F.when(F.size(k) > 0, F.concat(F.lit("["), F.array_join(k.cast("array<string>"), ","), F.lit("]"))).otherwise(""))
+    joined = F.array_join(F.transform("_p", lambda p, i: F.concat(p, F.coalesce(F.get(shown, i), F.lit("")))), "")
+    text = F.regexp_replace(F.regexp_replace(joined, " {2,}", " "), r"^\s+|\s+$", "")
+    return kept.select(id_col, text.alias("text"), F.array_sort(F.array_distinct(F.flatten("_k"))).alias("cited"), F.array_distinct(F.flatten("_m")).alias("named"))
+
+
+def source_block(n: Column, domain: Column, parts: list[Column], most: int = 1500) -> Column:
+    """A result fenced as a numbered source: its non-empty parts, a line each, up to ``most`` characters (a feature)."""
+    body = F.substring(F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), "\n"), 1, most)
+    return F.concat(F.lit('<source n="'), n.cast("string"), F.lit('" domain="'), F.coalesce(domain, F.lit("")), F.lit('">\n'), body, F.lit("\n</source>"))
+
+
+def extractive(passage: Column, snippet: Column, most: int = 400) -> Column:
+    """The answer without a model: the beginning of the first passage, else of the snippet, and its citation; empty if neither."""
+    said = F.coalesce(passage, snippet, F.lit(""))
+    return F.when(said != "", F.concat(F.substring(said, 1, most), F.lit(" [1]"))).otherwise("")

@@ -145,3 +145,25 @@ def hypotheses(candidates: DataFrame, key: str, budget: int = 4, longest: int =
     best = F.struct(-F.col("weight"), F.trim("text"))
     once = usable.groupBy(key, "low").agg(F.min(best).alias("b")).select(key, F.col("b.col2").alias("text"), (-F.col("b.col1")).alias("weight"))
     return best_of(once, [key], [F.col("weight").desc(), F.lower("text")], budget).withColumnRenamed("rank", "place")
+
+
+def share_held(needles: Column, haystack: Column) -> Column:
+    """Share of ``needles`` that a text holds anywhere, whatever their case; null without needles, 0 for a null text."""
+    held = F.filter(needles, lambda n: F.contains(F.lower(F.coalesce(haystack, F.lit(""))), F.lower(n)))
+    return F.when(F.size(needles) > 0, F.size(held) / F.size(needles))
+
+
+def integrity(answer: Column, named: Column, cited: Column) -> Column:
+    """Share of an answer's citations that lead to a result; 0 for an answer without any, null without an answer."""
+    return F.when(F.coalesce(answer, F.lit("")) != "", F.when(F.size(named) > 0, F.size(cited) / F.size(named)).otherwise(0.0))
+
+
+def accuracy(given: Column, accepted: Column) -> Column:
+    """1 where the value is among the accepted ones, 0 where not (a null value too), null where nothing is labelled."""
+    return F.when(F.size(accepted) > 0, F.coalesce(F.array_contains(accepted, given), F.lit(False)).cast("int"))
+
+
+def empty_handled(n_results: Column, answer: Column, expected: Column) -> Column:
+    """1 where an empty response was expected and given, or neither; null where nothing is labelled."""
+    empty = (F.coalesce(n_results, F.lit(0)) == 0) | F.coalesce(answer == "", F.lit(False))
+    return F.when(expected.isNotNull(), (empty == expected).cast("int"))

@@ -27,6 +27,14 @@ def half_life(intent: Column) -> Column:
     return out.otherwise(365 * DAY)
 
 
+def intent_boost(intent: Column, kind: str) -> Column:
+    """How much an intent favours a collection, ``document`` or ``capability``; fixed values."""
+    doing = F.coalesce(intent.isin("action", "utility"), F.lit(False))
+    if kind == "document":
+        return F.when(doing, 0.7).otherwise(1.0)
+    return F.when(doing, 2.5).when(intent.isin("shopping", "travel"), 1.4).otherwise(0.8)
+
+
 def freshness(published: Column, as_of: int, life: Column) -> Column:
     """Half-life decay of a page's age; 0.5 where the time is unknown (null, 0 or negative)."""
     age = F.greatest(F.lit(as_of) - published, F.lit(0))

@@ -54,7 +54,7 @@ def _counted(docs: DataFrame, id_col: str, fields: list[Column], static: Column,
     rows = docs.select(F.col(id_col).alias("id"), static.cast("double").alias("static"), *[F.coalesce(words(f), F.array().cast("array<string>")).alias(f"w{i}") for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(terms.value)
+        known = pa.array(terms.value, pa.string())
         size = max(len(known), 1)
         for b in batches:
             rows, keys, lens = [], [], np.empty((b.num_rows, n), np.int32)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsearch.operators import shred
-from loomsearch.plans import serving  # noqa: F401  (adds its queries to the catalogue)
+from loomsearch.plans import evidence, serving  # noqa: F401  (they add their queries to the catalogue)
 from loomsearch.plans.catalog import CATALOG
 from loomsearch.plans.runtime import read
 
