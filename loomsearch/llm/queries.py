@@ -55,6 +55,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[2]
+    return out.select("margin", "value", *[F.round(c, 6).alias(c) for c in ("goal_share", "raked_share", "actual_share")])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.alike_pairs(read(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clusters, p4_found, p4_clean, p5_found, p5_text, p6_ids, p7_mix, p7_shares, p8_found, p8_text)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clusters, p4_found, p4_clean, p5_found, p5_text, p6_ids, p7_mix, p7_shares, p7_margins, p8_found, p8_text)}
 
 
 P4_FOUND = r"""

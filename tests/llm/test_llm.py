@@ -372,16 +372,38 @@ def test_feasible():
 
 def test_mixture(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").union(spark.createDataFrame([(-1, None, "en", "answer", 0, None, None), (-2, "text", "en", None, 4, None, None)], spark.read.parquet(f"{SF}/documents.parquet").schema))
-    chosen, shares = mixing.mixture(docs, spark.read.parquet(f"{SF}/mix_targets.parquet"))
+    chosen, shares, margins = mixing.mixture(docs, spark.read.parquet(f"{SF}/mix_targets.parquet"))
     rows, s = chosen.collect(), {r["source"]: r for r in shares.collect()}
     assert not {r["doc_id"] for r in rows} & {-1, -2} and all(r["copies"] <= s[r["source"]]["max_repeats"] for r in rows)
     total = sum(r["tokens_available"] for r in s.values())
     most = max(r["tokens"] for r in rows)
     assert all(abs(r["tokens_used"] - r["feasible_share"] * total) <= most for r in s.values())
-    empty, none = mixing.mixture(docs.limit(0), spark.read.parquet(f"{SF}/mix_targets.parquet"))
+    m = margins.collect()
+    assert {r["margin"] for r in m} == {"source", "lang", "topic"}
+    for name in ("source", "lang", "topic"):
+        for share in ("goal_share", "raked_share", "actual_share"):
+            assert abs(sum(r[share] for r in m if r["margin"] == name) - 1) < 0.05
+    assert all(abs(r["raked_share"] - r["goal_share"]) < 1e-3 for r in m if r["margin"] == "source")
+    empty, none, _ = mixing.mixture(docs.limit(0), spark.read.parquet(f"{SF}/mix_targets.parquet"))
     assert empty.count() == 0 and all(r["actual_share"] == 0 for r in none.collect())
 
 
+def test_raking_meets_margins_that_agree():
+    cells = [{"source": s, "lang": x, "topic": t, "tokens": n} for n, (s, x, t) in enumerate(((s, x, t) for s in "ab" for x in "xy" for t in "pq"), 10)]
+    total = sum(c["tokens"] for c in cells)
+    size = {m: {k: sum(c["tokens"] for c in cells if c[m] == k) for k in sorted({c[m] for c in cells})} for m in mixing.MARGINS}
+    goals = {"source": {"a": 0.6 * total, "b": 0.4 * total}, "lang": {"x": 0.45 * total, "y": 0.55 * total}, "topic": size["topic"]}
+    f = mixing.rake(cells, goals, {"a": 3, "b": 3}, size["source"])
+    for m in mixing.MARGINS:
+        for k, want in goals[m].items():
+            assert abs(sum(c["tokens"] * f["source"][c["source"]] * f["lang"][c["lang"]] * f["topic"][c["topic"]] for c in cells if c[m] == k) - want) < 1e-3 * total
+    # Margins that contradict each other: the source still gets its goal, within its cap.
+    tied = [{"source": "a", "lang": "x", "topic": "p", "tokens": 50}, {"source": "b", "lang": "y", "topic": "q", "tokens": 50}]
+    goals = {"source": {"a": 70, "b": 30}, "lang": {"x": 50, "y": 50}, "topic": {"p": 50, "q": 50}}
+    f = mixing.rake(tied, goals, {"a": 2, "b": 2}, {"a": 50, "b": 50})
+    assert abs(50 * f["source"]["a"] * f["lang"]["x"] * f["topic"]["p"] - 70) < 1e-6
+
+
 # Look-alikes
 
 
