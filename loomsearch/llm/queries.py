@@ -78,6 +78,10 @@ P4_FOUND = r"""
     g AS (SELECT domain, t FROM x WHERE t <> '' GROUP BY domain, t HAVING count(DISTINCT doc_id) >= 8)
     SELECT doc_id, line_no FROM x JOIN g USING (domain, t)"""
 
+P4_CLEAN = f"""
+    WITH c AS (SELECT doc_id, list(DISTINCT line_no) AS cut FROM ({P4_FOUND}) GROUP BY doc_id)
+    SELECT w.doc_id, array_to_string(list_filter(string_split(body, chr(10)), lambda x, i: NOT list_contains(coalesce(cut, []), i::INT)), chr(10)) AS text, coalesce(len(cut), 0) AS removed FROM web_document w LEFT JOIN c USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND}
+    return {"p4_found": P4_FOUND, "p4_clean": P4_CLEAN}
