@@ -15,6 +15,10 @@ given names that one profile has for one surname, for several different surnames
 merge new forms can be learned, and lead to new matches. Links that rest on an initial alone
 wait until the clear ones are merged, and hold only if a single full profile answers to them,
 or a single short one and no full one.
+
+All joins are sort-merge joins by hint: profiles, keys and pairs unfold many times beyond the size
+of the compressed tables that they are read from, by which a broadcast would be chosen, and a
+broadcast goes through the driver.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ def common_words(rows: DataFrame) -> dict[str, dict[str, int]]:
     each = stage(once.select("kind", "words", F.explode("words").alias("word")))
     uses = each.groupBy("kind", "word").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct("n", -F.length("word"), "word"))["word"]
-    own = each.where("size(words) > 1").join(uses, ["kind", "word"]).groupBy("kind", "words").agg(rarest.alias("own"))
+    own = each.where("size(words) > 1").join(uses.hint("merge"), ["kind", "word"]).groupBy("kind", "words").agg(rarest.alias("own"))
     beside = own.select("kind", F.substring("own", 1, 2).alias("start"), F.explode(F.array_remove("words", F.col("own"))).alias("word")).distinct()
     found = beside.groupBy("kind", "word").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_OWN).collect()
     return {k: {r["word"]: r["n"] for r in found if r["kind"] == k} for k in KINDS}
@@ -72,7 +76,7 @@ def about(rows: DataFrame) -> DataFrame:
     texts = rows.select("description").where("description is not null").distinct()
     each = texts.select("description", F.explode(F.split("description", r"[^\p{L}\p{M}]+")).alias("t")).where(F.length("t") > 2).withColumn("w", F.lower("t"))
     small = each.where("t = w").select("w").distinct().withColumn("small", F.lit(True))
-    told = each.join(small, "w", "left").where(~F.col("w").isin(*sorted(names.STOP)))
+    told = each.join(small.hint("merge"), "w", "left").where(~F.col("w").isin(*sorted(names.STOP)))
     return told.groupBy("description").agg(F.collect_set(F.when(F.col("small"), F.col("w"))).alias("topics"), F.collect_set(F.when(F.col("small").isNull(), F.col("w"))).alias("places"))
 
 
@@ -101,7 +105,7 @@ def parsed(rows: DataFrame, common: dict[str, dict[str, int]]) -> DataFrame:
             kinds = (pa.string(), form, *[pa.list_(pa.string())] * 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[n] for r in out], k) for n, k in enumerate(kinds))], ["id", *PROFILE])
 
-    told = rows.join(about(rows), "description", "left")
+    told = rows.join(about(rows).hint("merge"), "description", "left")
     return told.select("id", "kind", "name", "aliases", "description", "domain", "topics", "places").mapInArrow(
         run, f"id {id_type}, kind string, forms {FORMS}, trades array<string>, places array<string>, domains array<string>"
     )
@@ -115,10 +119,10 @@ def learned_forms(profiles: DataFrame) -> dict[str, frozenset[str]]:
     each = profiles.where("kind = 'Person'").select("pid", F.explode("forms").alias("f")).where("size(f.words) > 0")
     each = stage(each.select("pid", F.substring("f.own", 1, 3).alias("start"), F.element_at("f.words", 1).alias("g")).where(F.length("g") > 1).distinct())
     a, b = each.alias("a"), each.alias("b")
-    two = stage(a.join(b, ["pid", "start"]).where("a.g <> b.g").select("start", F.col("a.g").alias("g"), F.col("b.g").alias("h")).distinct())
+    two = stage(a.join(b.hint("merge"), ["pid", "start"]).where("a.g <> b.g").select("start", F.col("a.g").alias("g"), F.col("b.g").alias("h")).distinct())
     beside = two.groupBy("g").agg(F.count_distinct("start").alias("n"))
     seen = two.where("g < h").groupBy("g", "h").agg(F.count("*").alias("both")).where(F.col("both") >= FORM_OWN)
-    rated = seen.join(beside, "g").join(beside.select(F.col("g").alias("h"), F.col("n").alias("m")), "h")
+    rated = seen.join(beside.hint("merge"), "g").join(beside.select(F.col("g").alias("h"), F.col("n").alias("m")).hint("merge"), "h")
     out: dict[str, set[str]] = {}
     for r in rated.where(F.col("both") >= FORM_SHARE * F.least("n", "m")).collect():
         out.setdefault(r["g"], set()).add(r["h"])
@@ -191,18 +195,19 @@ def matches(profiles: DataFrame, other: dict[str, frozenset[str]], fresh: DataFr
     blocks = profiles.select("pid", "kind", "forms", "places", "domains").mapInArrow(keys, f"pid {id_type}, key string")
     x, y = blocks.select(F.col("pid").alias("a"), "key"), blocks.select(F.col("pid").alias("b"), "key")
     if fresh is None:
-        pairs = x.join(y, "key").where("a < b").select("a", "b").distinct()
+        pairs = x.join(y.hint("merge"), "key").where("a < b").select("a", "b").distinct()
     else:
-        new = x.join(fresh.select(F.col("pid").alias("a")), "a", "left_semi")
-        pairs = new.join(y, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = x.join(fresh.select(F.col("pid").alias("a")).hint("merge"), "a", "left_semi")
+        pairs = new.join(y.hint("merge"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pack: Column = F.struct(*PROFILE)
-    full = pairs.join(profiles.select(F.col("pid").alias("a"), pack.alias("pa")), "a").join(profiles.select(F.col("pid").alias("b"), pack.alias("pb")), "b")
+    left, right = (profiles.select(F.col("pid").alias(x), pack.alias(f"p{x}")).hint("merge") for x in "ab")
+    full = pairs.join(left, "a").join(right, "b")
     return full.select("a", "b", "pa", "pb").mapInArrow(judge, f"a {id_type}, b {id_type}, level int, short_a boolean, short_b boolean")
 
 
 def merge(profiles: DataFrame, members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles, members, changed) after uniting linked profiles under the least id."""
-    group = stage(components(links, "a", "b").withColumnRenamed("node", "pid"))
+    group = stage(components(links, "a", "b").withColumnRenamed("node", "pid")).hint("merge")
     unite = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
     moved = profiles.join(group, "pid").groupBy(F.col("component").alias("pid")).agg(F.first("kind").alias("kind"), *(unite(c) for c in PROFILE[1:]))
     kept = profiles.join(group, "pid", "left_anti")
@@ -226,7 +231,7 @@ def resolve(entities: DataFrame) -> DataFrame:
     bare = first.where(F.size("forms") == 0).select("id", F.col("id").alias("pid"))
     once = stage(named.groupBy(*PROFILE).agg(F.min("id").alias("pid")))
     profiles = once
-    members = stage(named.join(once, PROFILE).select("id", "pid").union(bare).distinct())
+    members = stage(named.join(once.hint("merge"), PROFILE).select("id", "pid").union(bare).distinct())
     fresh, other = None, learned_forms(profiles)
     # Each round but the last makes the profiles fewer or learns further forms, so the rounds end.
     while True:
@@ -251,11 +256,11 @@ def resolve(entities: DataFrame) -> DataFrame:
         if sure.isEmpty():
             break
         profiles, members, fresh = merge(profiles, members, sure)
-    return members.join(first.select("id", "kind").distinct(), "id").select(F.col("id").alias("entity_id"), "kind", F.col("pid").alias("cluster_id"))
+    return members.join(first.select("id", "kind").distinct().hint("merge"), "id").select(F.col("id").alias("entity_id"), "kind", F.col("pid").alias("cluster_id"))
 
 
 def linked_pairs(entities: DataFrame) -> DataFrame:
     """(entity_id_a, entity_id_b): every pair of rows of one person or organisation, smaller id first."""
     c = resolve(entities).select("entity_id", "cluster_id").distinct()
     a, b = c.select(F.col("entity_id").alias("entity_id_a"), "cluster_id"), c.select(F.col("entity_id").alias("entity_id_b"), "cluster_id")
-    return a.join(b, "cluster_id").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b")
+    return a.join(b.hint("merge"), "cluster_id").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b")

@@ -15,6 +15,7 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     small stars), so the number of rounds grows with the logarithm of the longest chain, and
     a hub with a third of all links is combined before it moves. Null ends are left out. Links that
     have not settled after ``max_rounds`` (chains far beyond any number of rows) end in an error.
+    No join is a broadcast, which would go through the driver: links unfold beyond their table's size.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = stage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -22,10 +23,10 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(low.hint("merge"), "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:

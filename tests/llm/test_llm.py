@@ -279,6 +279,21 @@ def test_rounds_go_on_until_nothing_merges(spark):
     assert {r["cluster_id"] for r in entities.resolve(df).collect()} == {"00"}
 
 
+def test_no_join_goes_through_the_driver(spark):
+    rows = [("a", "Elizabeth Vinvatrodor", "Person", [], "Surgeon", None), ("b", "E. Vinvatsodor", "Person", [], None, None), ("c", "Melemmikro Ltd", "Organization", [], None, None), ("d", "Melemmikro Limited", "Organization", [], None, None)]
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    began = store.executionsList().last().executionId() if store.executionsCount() else -1
+    assert {tuple(r) for r in entities.linked_pairs(spark.createDataFrame(rows, ENTITY)).collect()} == {("a", "b"), ("c", "d")}
+    bus.waitUntilEmpty()
+    runs, ran = store.executionsList(), []
+    for n in range(runs.size()):
+        if (i := runs.apply(n).executionId()) > began:
+            nodes = store.planGraph(i).allNodes()
+            ran += [nodes.apply(k).name() for k in range(nodes.size())]
+    assert "SortMergeJoin" in ran and not [x for x in ran if x.startswith("Broadcast")]
+
+
 # Boilerplate
 
 
