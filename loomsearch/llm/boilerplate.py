@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -87,23 +87,25 @@ class Nodes:
     def __init__(self) -> None:
         self.known: dict[tuple, int] = {}
         self.first: list[tuple[list[str], frozenset[str]]] = []
-        self.having: dict[tuple[str, str], list[int]] = {}
+        self.having: dict[str, dict[str, list[int]]] = {}
 
     def find(self, shape: str, words: list[str], add: bool = False) -> int:
         """Number of the line's node, -1 if it is like none; ``add`` makes it one of its own then."""
         key = (shape, *words)
         if key in self.known:
             return self.known[key]
-        kinds = frozenset(words)
-        # Lines with that much in common share one of any so many words.
-        some = sorted(kinds, key=lambda w: (len(self.having.get((shape, w), ())), w))[: int((1 - SAME_NODE) * len(words)) + 1]
-        best, node = 0.0, -1
-        for n in sorted({n for w in some for n in self.having.get((shape, w), ())}):
+        kinds, size, having = frozenset(words), len(words), self.having.setdefault(shape, {})
+        # Lines with that much in common share one of any so many words; new words are had by none.
+        known = [w for w in kinds if w in having]
+        some = int((1 - SAME_NODE) * size) + 1 - (len(kinds) - len(known))
+        rarest = [w for _, w in sorted([(len(having[w]), w) for w in known])[:some]] if some > 0 else []
+        best, node, twice = 0.0, -1, size - len(kinds)
+        for n in sorted({n for w in rarest for n in having[w]}):
             other, its = self.first[n]
-            longest = max(len(words), len(other))
+            shortest, longest = (size, len(other)) if size < len(other) else (len(other), size)
             least = SAME_NODE * longest
             # Words that a line has twice are the most that its words' kinds leave out.
-            if min(len(words), len(other)) < least or len(kinds & its) + len(words) - len(kinds) < least:
+            if shortest < least or len(kinds & its) + twice < least:
                 continue
             c = (Counter(words) & Counter(other)).total() if longest > LONG_WORDS else common_series(words, other)
             if c >= least and c / longest > best:
@@ -112,7 +114,7 @@ class Nodes:
             node = len(self.first)
             self.first.append((words, kinds))
             for w in kinds:
-                self.having.setdefault((shape, w), []).append(node)
+                having.setdefault(w, []).append(node)
         if node >= 0:
             self.known[key] = node
         return node
@@ -145,7 +147,7 @@ def tree_match(lines: list[tuple[int, float]], place: dict[int, int]) -> list[in
     return out[::-1]
 
 
-def cells(words: list[str], cache: dict[str, int]) -> list[int]:
+def cells(words: Sequence[str], cache: dict[str, int]) -> list[int]:
     """Hashed cells of a line's words and pairs of neighbouring words."""
     out = []
     for w in [*words, *map(" ".join, zip(words, words[1:]))]:
@@ -176,9 +178,15 @@ def different(pages: list[str], words: dict[str, list[str]] | None = None) -> li
         ws = words[p] if words else line_words(p)
         sets.append(frozenset(zip(ws, ws[1:])))
     # What all pages of a host have weighs next to nothing, so a large template makes no near-copies.
-    df = Counter(x for s in sets for x in s)
-    weight = {x: math.log((len(pages) + 1) / n) for x, n in df.items()}
-    total = [sum(weight[x] for x in s) for s in sets]
+    df: Counter = Counter()
+    for s in sets:
+        df.update(s)
+    # Pairs that one page has by itself count in its weight, but no two pages have them in common.
+    one = math.log(len(pages) + 1)
+    weight = {x: math.log((len(pages) + 1) / n) for x, n in df.items() if n > 1}
+    shared = [s & weight.keys() for s in sets]
+    most = [sum(map(weight.__getitem__, s)) for s in shared]
+    total = [m + one * (len(s) - len(x)) for m, s, x in zip(most, sets, shared)]
     root = list(range(len(pages)))
 
     def find(n: int) -> int:
@@ -189,8 +197,10 @@ def different(pages: list[str], words: dict[str, list[str]] | None = None) -> li
 
     for j in range(len(pages)):
         for i in range(j):
-            if find(i) != find(j) and NEAR_COPY * max(total[i], total[j]) <= min(total[i], total[j]):
-                both = sum(map(weight.__getitem__, sets[i] & sets[j]))
+            # The least weight in common that makes near-copies, a little less for rounding.
+            least = NEAR_COPY / (1 + NEAR_COPY) * (total[i] + total[j]) * (1 - 1e-9)
+            if most[i] >= least and most[j] >= least and find(i) != find(j):
+                both = sum(map(weight.__getitem__, shared[i] & shared[j]))
                 if both and both >= NEAR_COPY * (total[i] + total[j] - both):
                     x, y = find(i), find(j)
                     root[max(x, y)] = min(x, y)
@@ -259,17 +269,17 @@ def article_lines(title: str | None, body: str, headings: list[str] | None, labe
     lines = page_lines(body)
     heads = {tuple(line_words(h)) for h in headings or [] if h}
     top = line_words(title or "")
-    score = [line_score(ws, odds, cache) for _, _, ws, _ in lines]
+    score = lambda n: line_score(lines[n][2], odds, cache)
     main = []
-    for n, ((_, line, ws, s), v) in enumerate(zip(lines, score)):
+    for n, (_, line, ws, s) in enumerate(lines):
         if labels and (labels[n] == "t" or s in ("p", "li")):
-            main.append(labels[n] == "v" and bool(ws) and v > VARYING_LEAST)
+            main.append(labels[n] == "v" and bool(ws) and score(n) > VARYING_LEAST)
             continue
         # A full sentence may be about a template's subject; text that lost its end is still text.
         least = {"p": 0.0, "li": 0.0, "s": 0.0 if line.rstrip().endswith(".") else 1.0, "x": 1.0}[s]
         if s == "s" and len(ws) >= 8 and line.rstrip().endswith("."):
             least = -2.0
-        main.append(v > least and (s != "x" or len(ws) >= LONG_LINE))
+        main.append((s != "x" or len(ws) >= LONG_LINE) and score(n) > least)
     first = next((n for n, (m, (_, _, _, s)) in enumerate(zip(main, lines)) if m and s in "px"), len(lines))
     out, headline = [], False
     for n, (number, _, ws, s) in enumerate(lines):
@@ -283,7 +293,7 @@ def article_lines(title: str | None, body: str, headings: list[str] | None, labe
         for n in range(first - 1, -1, -1):
             number, _, ws, s = lines[n]
             least = -0.6 if len(ws) >= 6 and "|" not in lines[n][1] else 0.0
-            if s in "xs" and len(ws) >= 3 and score[n] > least and number not in out:
+            if s in "xs" and len(ws) >= 3 and number not in out and score(n) > least:
                 out.append(number)
                 break
     return sorted(set(out))
@@ -314,7 +324,10 @@ def induced(groups: DataFrame) -> DataFrame:
                 labels, *words = group_labels([p["body"] for p in pages])
                 rows += [(domain, p["h"], x) for p, x in zip(pages, labels) if x]
                 for side, lines in enumerate(words):
-                    np.add.at(total[side], np.array([c for ws in lines for c in cells(ws, cache)], dtype=np.int64), 1)
+                    # Lines that pages repeat are hashed once.
+                    often = [(cells(ws, cache), n) for ws, n in Counter(map(tuple, lines)).items()]
+                    at = np.array([c for own, _ in often for c in own], dtype=np.int64)
+                    np.add.at(total[side], at, np.repeat(np.array([n for _, n in often], dtype=np.int64), [len(own) for own, _ in often]))
             yield pa.RecordBatch.from_arrays([*(pa.array([r[n] for r in rows], kinds[n]) for n in range(3)), *(pa.nulls(len(rows), k) for k in kinds[3:])], names)
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), k) for k in kinds[:3]), pa.array(at, pa.int32()), pa.array(total[0][at]), pa.array(total[1][at])], names)

@@ -341,6 +341,39 @@ def test_alignment_decides(spark):
     assert lines("tvtvt", mixed) == [2, 4] and lines(None, mixed) == []
 
 
+def test_only_lines_in_doubt_are_scored(monkeypatch):
+    text = "The ferry pilot brings the boat across the wide bay at night in any weather."
+    body = "\n".join(["Home | News", text, "Share this page with all the friends you have and ask them what they think of it.", "Next"])
+    scored, score = [], boilerplate.line_score
+    monkeypatch.setattr(boilerplate, "line_score", lambda ws, *rest: scored.append(ws) or score(ws, *rest))
+    assert boilerplate.article_lines("A night on the bay", body, None, "tvtv", np.zeros(boilerplate.CELLS), {}) == [2]
+    assert scored == [boilerplate.line_words(text)]  # template and menus are settled without their words
+
+
+def test_near_copies_and_nodes_by_definition():
+    rng = random.Random(8)
+    stock = [[rng.choice("abcdefghijkl") * rng.randint(1, 3) for _ in range(rng.randint(3, 14))] for _ in range(9)]
+    edit = lambda ws: [w if rng.random() < 0.9 else rng.choice("mnopq") for w in ws]
+    for _ in range(20):
+        pages = list({" ".join(w for ws in rng.sample(stock, 4) for w in edit(ws)) for _ in range(12)})
+        sets = {p: set(zip(p.split(), p.split()[1:])) for p in pages}
+        weight = lambda xs: sum(np.log((len(pages) + 1) / sum(x in s for s in sets.values())) for x in xs)
+        root = {p: {p} for p in pages}
+        for p, q in combinations(pages, 2):
+            if weight(sets[p] & sets[q]) >= boilerplate.NEAR_COPY * weight(sets[p] | sets[q]):
+                for r in (both := root[p] | root[q]):
+                    root[r] = both
+        kept = boilerplate.different(pages)
+        assert len(kept) == len({frozenset(r) for r in root.values()}) == len({frozenset(root[p]) for p in kept})
+        nodes, first = boilerplate.Nodes(), []
+        for ws in dict.fromkeys(tuple(edit(rng.choice(stock))) for _ in range(40)):
+            like = [(boilerplate.common_series(list(ws), f) / max(len(ws), len(f)), -n) for n, f in enumerate(first)]
+            best = max((x for x in like if x[0] >= boilerplate.SAME_NODE - 1e-12), default=None)
+            assert nodes.find("p", list(ws), add=True) == (len(first) if best is None else -best[1])
+            if best is None:
+                first.append(list(ws))
+
+
 def test_article(spark):
     rng = random.Random(7)
     vocab = ["".join(rng.choice("bcdfghklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
